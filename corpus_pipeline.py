@@ -8,10 +8,12 @@ import public_tokenizers
 from tidemark.llm import byte_bpe
 from tidemark.llm.common import materialize, read
 from tidemark.llm.queries import rank_file
+from tidemark.session import ship_code
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of what is left, with digests of ids and decoded bytes."""
+    ship_code(spark)
     return byte_bpe.round_trip(docs, rank_file(), public_tokenizers.PATTERN)
 
 

@@ -6,8 +6,9 @@ from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe
+from tidemark.llm import byte_bpe, compression_langid, decontaminate
 from tidemark.llm.common import read
 
 #: The rank file's place is a parameter; the file is read on the driver and sent with the tasks (under 1 MB).
@@ -18,14 +19,30 @@ def rank_file(name: str = RANKS) -> bytes:
     return Path(public_tokenizers.path(name)).read_bytes()
 
 
+def op4_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; learned from the two folds that aren't held out."""
+    docs = read(spark, sf_dir, "documents")
+    fold = compression_langid.fold("doc_id")
+    models = compression_langid.fit(docs.where(fold != 1))
+    found = compression_langid.predict(docs, models)
+    return found.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of every whole document, as digests."""
     return byte_bpe.round_trip(read(spark, sf_dir, "documents"), rank_file(), public_tokenizers.PATTERN)
 
 
+def op9_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a benchmark window, as counts and digests."""
+    return decontaminate.digest(decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
+
+
 def queries() -> dict:
     return {
+        "op4_compression_langid": op4_compression_langid,
         "op7_byte_bpe": op7_byte_bpe,
+        "op9_fm_decontamination": op9_fm_decontamination,
     }
 
 
