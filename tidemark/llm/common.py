@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -30,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
+    gc.collect()  # lets Spark's cleaner drop the shuffle files of earlier steps
+    spark.sparkContext._jvm.System.gc()
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
@@ -81,5 +86,37 @@ def slices(batch: pa.RecordBatch, most_bytes: int = 8 << 20) -> Iterator[pa.Reco
         yield batch.slice(start, step)
 
 
+BLOOM_BITS = 1 << 26
+
+
+def bloom(df: DataFrame, column: str, bits: int = BLOOM_BITS) -> np.ndarray:
+    """Bloom filter over a long column that is itself a good hash: bits / 8 bytes, whatever the table's size.
+
+    The bits are united by a group-by with map-side combining; the driver gets one row for each
+    64-bit word that isn't zero. A full filter only lets more rows pass.
+    """
+    low = F.col(column).bitwiseAND(bits - 1)
+    high = F.shiftrightunsigned(column, 32).bitwiseAND(bits - 1)
+    words = (
+        df.select(F.explode(F.array(low, high)).alias("at"))
+        .groupBy(F.shiftright("at", 6).alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("mask"))
+        .toArrow()
+    )
+    out = np.zeros(bits // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("mask").to_numpy()
+    return out.view(np.uint64)
+
+
+def maybe(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit hashes may be in the filter."""
+    hashes = hashes.view(np.uint64)
+    found = np.ones(len(hashes), bool)
+    for at in (hashes, hashes >> np.uint64(32)):
+        at = at & np.uint64(64 * len(filter_) - 1)
+        found &= (filter_[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return found
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

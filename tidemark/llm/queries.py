@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, compression_langid, decontaminate
-from tidemark.llm.common import read
+from tidemark.llm import byte_bpe, compression_langid, decontaminate, quality_rules
+from tidemark.llm.common import materialize, read
 
 #: The rank file's place is a parameter; the file is read on the driver and sent with the tasks (under 1 MB).
 RANKS = "byte_bpe_50k.tiktoken"
@@ -19,6 +19,16 @@ def rank_file(name: str = RANKS) -> bytes:
     return Path(public_tokenizers.path(name)).read_bytes()
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document and the verdict under the certified cutoffs of its language."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    measured = materialize(quality_rules.measure(docs).drop("text"), "quality")
+    cutoffs = quality_rules.calibrate(measured, read(spark, sf_dir, "labels"))
+    judged = quality_rules.judge(measured, cutoffs)
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select("doc_id", *[F.col(f"_q_.{n}").alias(n) for n in names], F.col("_q_base_failed").alias("base_failed"), F.col("_q_kept").alias("kept"))
+
+
 def op4_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; learned from the two folds that aren't held out."""
     docs = read(spark, sf_dir, "documents")
@@ -40,6 +50,7 @@ def op9_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op2_quality_rules": op2_quality_rules,
         "op4_compression_langid": op4_compression_langid,
         "op7_byte_bpe": op7_byte_bpe,
         "op9_fm_decontamination": op9_fm_decontamination,
