@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, compression_langid, decontaminate, quality_rules
+from tidemark.llm import byte_bpe, compression_langid, decontaminate, quality_rules, repeated_bytes
 from tidemark.llm.common import materialize, read
 
 #: The rank file's place is a parameter; the file is read on the driver and sent with the tasks (under 1 MB).
@@ -48,12 +48,18 @@ def op9_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that a 400-byte string found elsewhere covers, removed."""
+    return repeated_bytes.digest(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op2_quality_rules": op2_quality_rules,
         "op4_compression_langid": op4_compression_langid,
         "op7_byte_bpe": op7_byte_bpe,
         "op9_fm_decontamination": op9_fm_decontamination,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
