@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, compression_langid, decontaminate, quality_rules, repeated_bytes
+from tidemark.llm import byte_bpe, compression_langid, decontaminate, order_minhash, quality_rules, repeated_bytes
 from tidemark.llm.common import materialize, read
 
 #: The rank file's place is a parameter; the file is read on the driver and sent with the tasks (under 1 MB).
@@ -38,6 +38,12 @@ def op4_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document, and whether it stands for the class."""
+    found = order_minhash.classes(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of every whole document, as digests."""
     return byte_bpe.round_trip(read(spark, sf_dir, "documents"), rank_file(), public_tokenizers.PATTERN)
@@ -57,6 +63,7 @@ def queries() -> dict:
     return {
         "op2_quality_rules": op2_quality_rules,
         "op4_compression_langid": op4_compression_langid,
+        "op5_order_minhash": op5_order_minhash,
         "op7_byte_bpe": op7_byte_bpe,
         "op9_fm_decontamination": op9_fm_decontamination,
         "op10_suffix_dedup": op10_suffix_dedup,
