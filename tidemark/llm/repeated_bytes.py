@@ -47,7 +47,7 @@ GROUP = 2048
 #: Bytes of contexts sorted at once.
 BLOCK = 4 << 20
 #: Bytes of texts scanned at once.
-SLICE = 2 << 20
+SLICE = 64 << 10
 #: Offsets of one bin of a gram with over GROUP contexts.
 BIN = 35
 #: Bits of an anchor key that hold the place; the others hold the gram's hash.
@@ -60,6 +60,16 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of each full window of width values, by doubling."""
+    done = 1
+    while 2 * done <= width:
+        values = np.minimum(values[:-done], values[done:]) if len(values) > done else values[:0]
+        done *= 2
+    rest = width - done
+    return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
+
+
 def anchors(raws: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, place in it, gram hash) of the anchors of all length-byte strings, in order."""
     size = np.array([len(r) for r in raws], np.int64)
@@ -78,17 +88,14 @@ def anchors(raws: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.n
         a, b = anchors(raws[:half], length, gram), anchors(raws[half:], length, gram)
         return np.concatenate([a[0], b[0] + half]), np.concatenate([a[1], b[1]]), np.concatenate([a[2], b[2]])
     grams = _mix(Text(joined).hashes(np.arange(n - gram + 1), gram))
-    m, width = len(grams), length - gram + 1
-    keys = (grams >> _PLACE_BITS << _PLACE_BITS) | np.arange(m, dtype=np.uint64)
-    rows = np.concatenate([keys, np.full(-m % width + width, 2**64 - 1, np.uint64)]).reshape(-1, width)
-    ahead = np.minimum.accumulate(rows, axis=1).ravel()
-    behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(behind[:m], ahead[width - 1 : width - 1 + m])  # of the grams of each string
+    width = length - gram + 1
+    keys = (grams >> _PLACE_BITS << _PLACE_BITS) | np.arange(len(grams), dtype=np.uint64)
+    least = _sliding_minimum(keys, width)  # of the grams of each string
     inside = np.zeros(n + 1, np.int64)
     whole = size >= length
     np.add.at(inside, start[whole], 1)
     np.add.at(inside, (start + size - length + 1)[whole], -1)
-    chosen = least[np.flatnonzero(np.cumsum(inside)[:m] > 0)]
+    chosen = least[np.flatnonzero(np.cumsum(inside)[: len(least)] > 0)]
     at = (chosen & np.uint64((1 << int(_PLACE_BITS)) - 1)).astype(np.int64)
     at = at[np.concatenate([[True], at[1:] != at[:-1]])]
     text = np.searchsorted(start, at, "right") - 1
@@ -113,7 +120,7 @@ def _scan(length: int, gram: int, kind: str, found: np.ndarray | None):
                     yield pa.RecordBatch.from_arrays([signed], names=["gram"])
                     continue
                 size = np.array([len(r) for r in raws], np.int64)
-                left, right = np.minimum(at, reach), np.minimum(size[text] - at, length) if len(at) else at
+                left, right = np.minimum(at, reach), np.minimum(size[text] - at, length)
                 own = [raws[t][p - a : p + b] for t, p, a, b in zip(text.tolist(), at.tolist(), left.tolist(), right.tolist(), strict=True)]
                 context = pa.array([_context_hash(x, a) for x, a in zip(own, left.tolist(), strict=True)], pa.int64())
                 columns, names = [signed, context, pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32))], ["gram", "context", "left", "right"]
@@ -212,14 +219,16 @@ def _covered(gram: np.ndarray, left: np.ndarray, right: np.ndarray, raws: list[b
     return out_left, out_right
 
 
-def _blocks(length: int):
-    """mapInArrow over contexts in order of gram: sorts blocks of whole grams."""
+def _blocks(length: int, group: int):
+    """mapInArrow over contexts in order of gram and context: sorts blocks of whole grams."""
 
     def solve(rows: dict[str, list]) -> pa.RecordBatch:
         grams = np.array(rows["gram"], np.int64)
         numbers = np.cumsum(np.concatenate([[0], grams[1:] != grams[:-1]]))
         left, right = (np.array(rows[c], np.int64) for c in ("left", "right"))
-        a, b = _covered(numbers, left, right, rows["bytes"], np.array(rows["n"]) == 1, length)
+        lone = np.array(rows["n"]) == 1
+        a, b = _covered(numbers, left, right, rows["bytes"], lone, length)
+        a, b = np.where(lone, a, left), np.where(lone, b, right)
         found = a >= 0
         pick = np.flatnonzero(found)
         return pa.RecordBatch.from_arrays(
@@ -227,21 +236,37 @@ def _blocks(length: int):
             names=["gram", "context", "left", "cover_left", "cover_right"],
         )
 
+    columns = ("gram", "context", "left", "right", "bytes")
+
     def run(batches):
-        held: dict[str, list] = {c: [] for c in ("gram", "context", "left", "right", "n", "bytes")}
-        size = 0
+        done: dict[str, list] = {c: [] for c in (*columns, "n")}  # whole grams that wait for their block
+        own: dict[str, list] = {c: [] for c in (*columns, "n")}  # the gram that is coming in
+        size, places = 0, 0
         for whole in batches:
             for batch in slices(whole, BLOCK):
-                rows = batch.to_pydict()
-                for k, gram in enumerate(rows["gram"]):
-                    if size >= BLOCK and held["gram"][-1] != gram:
-                        yield solve(held)
-                        held, size = {c: [] for c in held}, 0
-                    for c in held:
-                        held[c].append(rows[c][k])
-                    size += len(rows["bytes"][k])
-        if held["gram"]:
-            yield solve(held)
+                for row in zip(*[batch.column(c).to_pylist() for c in columns], strict=True):
+                    if own["gram"] and own["gram"][-1] != row[0]:
+                        if places <= group:
+                            for c, values in own.items():
+                                done[c] += values
+                            size += sum(map(len, own["bytes"]))
+                        own, places = {c: [] for c in own}, 0
+                        if size >= BLOCK:
+                            yield solve(done)
+                            done, size = {c: [] for c in done}, 0
+                    places += 1
+                    if places > group:  # let through by the Bloom filter only; it is counted elsewhere
+                        own = {c: [x[-1]] if c == "gram" else [] for c, x in own.items()}
+                    elif own["gram"] and own["context"][-1] == row[1] and own["left"][-1] == row[2]:
+                        own["n"][-1] += 1
+                    else:
+                        for c, x in zip((*columns, "n"), (*row, 1), strict=True):
+                            own[c].append(x)
+        if places <= group:
+            for c, values in own.items():
+                done[c] += values
+        if done["gram"]:
+            yield solve(done)
 
     return run
 
@@ -295,24 +320,25 @@ def spans(docs: DataFrame, text_column: str = "text", length: int = LENGTH, gram
 
     grams = places.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("least"), F.max("context").alias("most")).where("n > 1")
     grams = materialize(grams.select("gram", "n", (F.col("least") != F.col("most")).alias("open")), "grams")
-    open_grams = grams.where("open").select("gram", "n")
-    fetched = texts.mapInArrow(_scan(length, gram, "contexts", bloom(open_grams, "gram")), f"{schema}, bytes binary")
-    contexts = fetched.groupBy("gram", "context", "left", "right").agg(F.any_value("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
-    contexts = materialize(contexts.join(open_grams.withColumnRenamed("n", "of_gram"), "gram"), "contexts")
+    open_grams = grams.where("open")
+    fetched = materialize(texts.mapInArrow(_scan(length, gram, "contexts", bloom(open_grams, "gram")), f"{schema}, bytes binary"), "contexts")
+    cold, warm = (open_grams.where(f"n {sign} {group}").select("gram") for sign in ("<=", ">"))
 
     solved = "gram long, context long, left int, cover_left int, cover_right int"
-    dealt = contexts.where(F.col("of_gram") <= group).select(*schema_names(schema), "n", "bytes").repartition("gram").sortWithinPartitions("gram")
-    covered = dealt.mapInArrow(_blocks(length), solved)
-    twice = contexts.where("n > 1").select("gram", "context", "left", F.col("left").alias("cover_left"), F.col("right").alias("cover_right"))
-    hot = _refined(contexts.where(F.col("of_gram") > group), length, reach, bin_size)
-    covers = covered.unionByName(twice).unionByName(hot).groupBy("gram", "context", "left").agg(F.max("cover_left").alias("cover_left"), F.max("cover_right").alias("cover_right"))
+    dealt = fetched.join(cold, "gram", "left_semi").repartition("gram").sortWithinPartitions("gram", "context", "left")
+    covered = dealt.mapInArrow(_blocks(length, group), solved)
+    hot = fetched.join(warm, "gram", "left_semi").groupBy("gram", "context", "left", "right").agg(F.any_value("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    hot = materialize(hot, "hot")
+    twice = hot.where("n > 1").select("gram", "context", "left", F.col("left").alias("cover_left"), F.col("right").alias("cover_right"))
+    covers = covered.unionByName(twice).unionByName(_refined(hot, length, reach, bin_size))
+    covers = covers.groupBy("gram", "context", "left").agg(F.max("cover_left").alias("cover_left"), F.max("cover_right").alias("cover_right"))
     covers = materialize(covers, "covers")
 
     closed = places.join(grams.where("not open").select("gram"), "gram", "left_semi").select("k1", "k2", (F.col("at") - F.col("left")).alias("first"), (F.col("at") + F.col("right")).alias("last"))
     opened = places.join(covers, ["gram", "context", "left"]).select("k1", "k2", (F.col("at") - F.col("cover_left")).alias("first"), (F.col("at") + F.col("cover_right")).alias("last"))
     found = closed.unionByName(opened).groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
     found = materialize(found.select("k1", "k2", F.expr(_MERGE).alias("spans")), "spans")
-    discard(places, grams, contexts, covers)
+    discard(places, grams, fetched, hot, covers)
     return found
 
 
@@ -322,10 +348,6 @@ _MERGE = """aggregate(spans, cast(array() as array<struct<first:int,last:int>>),
        else concat(acc, array(s)) end)"""
 
 
-def schema_names(schema: str) -> list[str]:
-    return [field.split()[0] for field in schema.split(", ")]
-
-
 def _kept(raw: bytes, covered: list[dict]) -> bytes:
     out, at = [], 0
     for s in covered:
