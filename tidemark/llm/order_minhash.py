@@ -3,9 +3,10 @@
 A text's k-mers are its five-word shingles (lowered words between white space; fewer than five words
 make one shingle), each labelled with its occurrence number. A sketch takes the several least-hashed
 labelled k-mers under one hash function and keeps them in text order; two texts share a sketch the
-likelier the smaller their edit distance. BANDS sketches make the blocking keys: of SKETCH k-mers
-each, or of SHORT_SKETCH for texts of up to SHORT k-mers (between both, of both sizes). Two texts
-at the similarity threshold share no key with a probability under 1 in 10,000.
+likelier the smaller their edit distance. A level's bands of sketches make the blocking keys: of the
+level's long size in k-mers, or of its short size for texts of up to SHORT k-mers (between both
+bounds, of both sizes). Two texts at the similarity threshold share no key with a probability under
+1 in 10,000.
 
 Candidates are verified by banded alignment: M is the longest common subsequence of both k-mer
 sequences within the diagonals that a similar pair can use (a bit-parallel dynamic programme over a
@@ -13,9 +14,12 @@ sliding window), and the similarity is M / (|A| + |B| - M): Jaccard similarity t
 and repetition. Links join pairs of SIMILARITY or more; classes are connected components.
 
 Identical texts are one node throughout. In a bucket of texts with a common key each is first
-compared with the bucket's least node; components follow; then texts of a bucket that are still in
-different components are compared too. So no bucket is expanded into pairs of texts that are known
-to be in one class, and no link between classes is lost; there is no cap on buckets or candidates.
+compared with the bucket's least node; components follow. Where a bucket of up to SMALL texts still
+has several components, their texts are compared pair by pair. The texts of larger ones, such as a
+crowd that shares a passage but is not alike, are sketched again at the second level, with more
+k-mers to a key and more keys, and their new buckets go the same way, whatever their size. So no
+bucket is expanded into pairs of texts that are known to be in one class, pairs within a bucket
+stay linear in the texts, and no link between classes is lost; no text or candidate is dropped.
 
 Rows: null text is in a class of its own (its doc_id). Texts without a word are only alike when
 identical. The class id is the least doc_id of the class, or null if all are null. Repeated rows
@@ -37,19 +41,20 @@ from tidemark.llm.components import connected_components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS = 32
-SKETCH = 5
-#: Texts of fewer k-mers than SHORT_SKETCH_ONLY have short sketches only, texts of more than SHORT long ones only.
-SHORT_SKETCH = 2
-SHORT_SKETCH_ONLY = 16
+#: (bands, k-mers of a short text's sketch, k-mers of a long text's sketch) of each level
+LEVELS = ((32, 2, 5), (128, 4, 10))
+#: Texts of fewer k-mers than SHORT_ONLY_BELOW have short sketches only, texts of more than SHORT long ones only.
+SHORT_ONLY_BELOW = 16
 SHORT = 20
+#: Texts of a bucket that are compared pair by pair.
+SMALL = 24
 #: Words whose hashes a worker remembers.
 REMEMBERED = 500_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _rng = np.random.default_rng(20240229)
 _STEP = _rng.integers(1, 2**63, SHINGLE, dtype=np.uint64) | np.uint64(1)
-_SCALE = _rng.integers(1, 2**32, BANDS, dtype=np.uint32) | np.uint32(1)
-_SHIFT = _rng.integers(0, 2**32, BANDS, dtype=np.uint32)
+_SCALE = [_rng.integers(1, 2**32, bands, dtype=np.uint32) | np.uint32(1) for bands, _, _ in LEVELS]
+_SHIFT = [_rng.integers(0, 2**32, bands, dtype=np.uint32) for bands, _, _ in LEVELS]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -113,18 +118,19 @@ def _least(values: np.ndarray, size: int) -> np.ndarray:
     return np.sort(np.argpartition(values, size - 1, axis=1)[:, :size], axis=1)
 
 
-def sketch_keys(kmers: np.ndarray) -> np.ndarray:
-    """The blocking keys of a text's k-mers."""
+def sketch_keys(kmers: np.ndarray, level: int = 0) -> np.ndarray:
+    """The blocking keys of a text's k-mers at a level."""
     n = len(kmers)
     if not n:
         return np.empty(0, np.int64)
+    bands, short, long = LEVELS[level]
     own = labelled(kmers)
     low = own.astype(np.uint32)
-    sizes = [SHORT_SKETCH] * (n <= SHORT) + [SKETCH] * (n >= SHORT_SKETCH_ONLY)
+    sizes = [short] * (n <= SHORT) + [long] * (n >= SHORT_ONLY_BELOW)
     parts: list[list[np.ndarray]] = [[] for _ in sizes]
     step = max(1, (1 << 20) // n)
-    for a in range(0, BANDS, step):
-        values = low * _SCALE[a : a + step, None] + _SHIFT[a : a + step, None]
+    for a in range(0, bands, step):
+        values = low * _SCALE[level][a : a + step, None] + _SHIFT[level][a : a + step, None]
         values ^= values >> np.uint32(15)
         values *= np.uint32(0x2C1B3C6D)
         values ^= values >> np.uint32(12)
@@ -133,7 +139,7 @@ def sketch_keys(kmers: np.ndarray) -> np.ndarray:
     keys = []
     for size, part in zip(sizes, parts, strict=True):
         chosen = np.concatenate(part)
-        key = np.arange(BANDS, dtype=np.uint64) + np.uint64(size * BANDS)
+        key = np.arange(bands, dtype=np.uint64) + np.uint64(1000 * size)
         for k in range(chosen.shape[1]):
             key = _mix(key * _M2 + chosen[:, k])
         keys.append(key)
@@ -200,17 +206,21 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(r) for r in rows], pa.int32()), keys], names=["doc_id", "node", "kmers", "keys"])
 
 
-def _sequences(wanted: np.ndarray):
-    """k-mer sequences of the texts that may be wanted."""
+def _wanted(filter_: np.ndarray, deep: bool):
+    """k-mer sequences of the texts that may be wanted, or their second-level keys."""
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole):
-                pick = pa.array(maybe(wanted, batch.column(1).to_numpy(zero_copy_only=False)))
-                batch = batch.filter(pick)
-                if batch.num_rows:
-                    sequences = [shingles(t).tobytes() for t in batch.column(2).to_pylist()]
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sequences, pa.binary())], names=["node", "sequence"])
+                batch = batch.filter(pa.array(maybe(filter_, batch.column(1).to_numpy(zero_copy_only=False))))
+                if not batch.num_rows:
+                    continue
+                rows = [shingles(t) for t in batch.column(2).to_pylist()]
+                if deep:
+                    keys = pa.array([sketch_keys(r, 1) for r in rows], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) for r in rows], pa.int32()), keys], names=["node", "kmers", "keys"])
+                else:
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], names=["node", "sequence"])
 
     return run
 
@@ -228,17 +238,21 @@ def _verified(least: float):
     return run
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    texts = docs.select(text_node(F.col("text")).alias("node"), "text").where("node is not null")
+    return texts.select("node", F.xxhash64("node").alias("k"), "text")
+
+
 def _links(docs: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     """Those of the pairs (a, b) of nodes that are similar, with their similarity; pairs is a written table."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("k", F.xxhash64("node"))
-    texts = docs.select(text_node(F.col("text")).alias("node"), "text").where("node is not null").select("node", F.xxhash64("node").alias("k"), "text")
-    sequences = texts.mapInArrow(_sequences(bloom(nodes, "k")), "node binary, sequence binary").groupBy("node").agg(F.any_value("sequence").alias("sequence"))
-    sequences = materialize(sequences, "sequences")
+    found = _texts(docs).mapInArrow(_wanted(bloom(nodes, "k"), False), "node binary, sequence binary")
+    sequences = materialize(found.groupBy("node").agg(F.any_value("sequence").alias("sequence")), "sequences")
     first = sequences.select(F.col("node").alias("a"), F.col("sequence").alias("x"))
     second = sequences.select(F.col("node").alias("b"), F.col("sequence").alias("y"))
     both = pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y")
     links = both.mapInArrow(_verified(least), "a binary, b binary, similarity double").where(F.col("similarity") >= least)
-    links = materialize(links, "links")
+    links = materialize(links.select("a", "b"), "links")
     discard(sequences)
     return links
 
@@ -248,6 +262,61 @@ def _alike(least: float) -> Column:
     return F.least("kmers", "other_kmers") >= F.lit(least) * F.greatest("kmers", "other_kmers")
 
 
+def _members(nodes: DataFrame) -> DataFrame:
+    """(key, node, kmers) of keys that two nodes or more have; nodes has node, kmers and keys."""
+    members = nodes.select("node", "kmers", F.explode("keys").alias("key"))
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return materialize(members.join(shared, "key"), "members")
+
+
+def _stars(members: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of each node with the least node of its buckets."""
+    hubs = members.groupBy("key").agg(F.min(F.struct("node", "kmers")).alias("hub")).select("key", F.col("hub.node").alias("b"), F.col("hub.kmers").alias("other_kmers"))
+    return members.join(hubs, "key").where(F.col("node") != F.col("b")).where(_alike(least)).select(F.col("node").alias("a"), "b").distinct()
+
+
+def _split(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """members of buckets with several components, with their component and the bucket's size n."""
+    placed = members.join(roots, "node", "left").select("key", "node", "kmers", F.coalesce("root", "node").alias("root"))
+    several = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return materialize(placed.join(several.select("key", "n"), "key"), "split")
+
+
+def _across(split: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of a bucket's nodes in different components."""
+    other = split.select("key", F.col("node").alias("b"), F.col("kmers").alias("other_kmers"), F.col("root").alias("other_root"))
+    return split.join(other, "key").where("node > b and root <> other_root").where(_alike(least)).select(F.col("node").alias("a"), "b").distinct()
+
+
+def _more(docs: DataFrame, pairs: DataFrame, tested: DataFrame, links: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Verify pairs that weren't tested yet: all tested pairs, all links, and their components."""
+    new = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+    all_links = links.unionByName(_links(docs, new, least))
+    return tested.unionByName(new), all_links, materialize(connected_components(all_links), "roots")
+
+
+def components(docs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """(node, root) of all nodes that are linked to another."""
+    members = _members(nodes)
+    tested = materialize(_stars(members, least), "stars")
+    links = _links(docs, tested, least)
+    roots = materialize(connected_components(links), "roots")
+    split = _split(members, roots)
+    small, large = split.where(f"n <= {SMALL}"), split.where(f"n > {SMALL}")
+    pairs = _across(small, least)
+    crowded = materialize(large.select("node").distinct().withColumn("k", F.xxhash64("node")), "crowded")
+    if crowded.isEmpty():
+        return _more(docs, pairs, tested, links, least)[2]
+    found = _texts(docs).mapInArrow(_wanted(bloom(crowded, "k"), True), "node binary, kmers int, keys array<bigint>")
+    again = found.join(crowded.select("node"), "node", "left_semi").groupBy("node").agg(F.any_value("kmers").alias("kmers"), F.any_value("keys").alias("keys"))
+    deep = _members(again)
+    tested, links, roots = _more(docs, pairs.unionByName(_stars(deep, least)).distinct(), tested, links, least)
+    rest = _split(deep, roots)
+    if rest.isEmpty():
+        return roots
+    return _more(docs, _across(rest, least), tested, links, least)[2]
+
+
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(doc_id, node, class_id, representative): the class of every document.
 
@@ -259,28 +328,9 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     sketched = materialize(texts.mapInArrow(_sketches, f"doc_id {kind}, node binary, kmers int, keys array<bigint>"), "sketches")
     nodes = sketched.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.any_value("kmers").alias("kmers"), F.any_value("keys").alias("keys"))
     nodes = materialize(nodes, "nodes")
+    roots = components(docs, nodes, least)
 
-    members = nodes.select("node", "kmers", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = materialize(members.join(shared, "key"), "members")
-    hubs = members.groupBy("key").agg(F.min(F.struct("node", "kmers")).alias("hub")).select("key", F.col("hub.node").alias("b"), F.col("hub.kmers").alias("other_kmers"))
-    stars = members.join(hubs, "key").where(F.col("node") != F.col("b")).where(_alike(least)).select(F.col("node").alias("a"), "b").distinct()
-    stars = materialize(stars, "stars")
-    links = _links(docs, stars, least)
-    roots = materialize(connected_components(links.select("a", "b")), "roots")
-
-    placed = members.join(roots, "node", "left").select("key", "node", "kmers", F.coalesce("root", "node").alias("root"))
-    split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    placed = materialize(placed.join(split, "key", "left_semi"), "placed")
-    other = placed.select("key", F.col("node").alias("b"), F.col("kmers").alias("other_kmers"), F.col("root").alias("other_root"))
-    rest = placed.join(other, "key").where("node > b and root <> other_root").where(_alike(least)).select(F.col("node").alias("a"), "b").distinct()
-    rest = materialize(rest.join(stars, ["a", "b"], "left_anti"), "rest")
-    more = _links(docs, rest, least)
-    joined = links.select("a", "b").unionByName(more.select("a", "b"))
-    roots_all = materialize(connected_components(joined), "roots")
-    discard(members, stars, roots, placed, rest)
-
-    classed = nodes.select("node", "least_id").join(roots_all, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
+    classed = nodes.select("node", "least_id").join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     named = classed.groupBy("root").agg(F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "node")).alias("first"))
     of_node = classed.join(named, "root").select("node", F.col("first.least_id").alias("class_id"), F.col("first.node").alias("representative"))
     of_node = materialize(of_node, "classes")
