@@ -36,7 +36,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     gc.collect()  # lets Spark's cleaner drop the shuffle files of earlier steps
     spark.sparkContext._jvm.System.gc()
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path

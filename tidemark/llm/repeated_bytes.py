@@ -333,12 +333,13 @@ def spans(docs: DataFrame, text_column: str = "text", length: int = LENGTH, gram
     covers = covered.unionByName(twice).unionByName(_refined(hot, length, reach, bin_size))
     covers = covers.groupBy("gram", "context", "left").agg(F.max("cover_left").alias("cover_left"), F.max("cover_right").alias("cover_right"))
     covers = materialize(covers, "covers")
+    discard(fetched, hot)
 
     closed = places.join(grams.where("not open").select("gram"), "gram", "left_semi").select("k1", "k2", (F.col("at") - F.col("left")).alias("first"), (F.col("at") + F.col("right")).alias("last"))
     opened = places.join(covers, ["gram", "context", "left"]).select("k1", "k2", (F.col("at") - F.col("cover_left")).alias("first"), (F.col("at") + F.col("cover_right")).alias("last"))
     found = closed.unionByName(opened).groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
     found = materialize(found.select("k1", "k2", F.expr(_MERGE).alias("spans")), "spans")
-    discard(places, grams, fetched, hot, covers)
+    discard(places, grams, covers)
     return found
 
 
