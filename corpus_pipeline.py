@@ -1,23 +1,56 @@
-"""documents, filtered and deduplicated in stages, then tokenised."""
+"""documents in five stages: quality rules, near-duplicates, repeated passages, benchmark text, tokens."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-import public_tokenizers
-from tidemark.llm import byte_bpe
+from tidemark.llm import byte_bpe, decontaminate, order_minhash, quality_rules, repeated_bytes
 from tidemark.llm.common import materialize, read
 from tidemark.llm.queries import rank_file
 from tidemark.session import ship_code
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the certified cutoffs of their language."""
+    return quality_rules.keep(docs, read(ship_code(spark), sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    ship_code(spark)
+    return order_minhash.keep_one(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the bytes that a 400-byte string found elsewhere covers."""
+    ship_code(spark)
+    return _counted(repeated_bytes.cut_text(docs))
+
+
+def benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the words of benchmark windows."""
+    return _counted(decontaminate.cut_text(docs, read(ship_code(spark), sf_dir, "benchmark")))
+
+
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of what is left, with digests of ids and decoded bytes."""
     ship_code(spark)
     return byte_bpe.round_trip(docs, rank_file(), public_tokenizers.PATTERN)
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """n_chars of the text as it is now."""
+    kind = docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
+    return docs.withColumn("n_chars", F.length("text").cast(kind)) if kind else docs
+
+
 STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("benchmark_text", benchmark_text),
     ("encoding", encoding),
 ]
 

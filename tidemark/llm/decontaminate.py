@@ -23,6 +23,7 @@ id and text columns are read, so extra or clashing columns don't matter.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -219,6 +220,38 @@ def _keyer(kept: int):
     return run
 
 
+_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+
+
+def without(text: str, spans: list[dict]) -> str:
+    """text without the words of the spans and what stands between them."""
+    raw = text.encode()
+    place = [m.span() for m in _WORD.finditer(raw.translate(_LOWER))]
+    out, at = [], 0
+    for s in spans:
+        out.append(raw[at : place[s["first"]][0]])
+        at = place[s["last"] - 1][1]
+    return b"".join([*out, raw[at:]]).decode()
+
+
+def cut_text(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", **options) -> DataFrame:
+    """docs without the text of benchmark windows; null text stays null."""
+    names = docs.columns
+    found = find(docs, benchmark, id_column=names[0], text_column=text_column, keep=tuple(names), **options)
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    at, last = names.index(text_column), len(names)
+
+    def run(batches):
+        for batch in batches:
+            texts, spans = batch.column(at).to_pylist(), batch.column(last).to_pylist()
+            cut = [without(t, s) if s else t for t, s in zip(texts, spans, strict=True)]
+            columns = list(batch.columns[:last])
+            columns[at] = pa.array(cut, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return found.select(*names, "spans").mapInArrow(run, fields)
+
+
 def digest(found: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """find()'s rows as counts and digests."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])

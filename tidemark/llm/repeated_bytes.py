@@ -411,14 +411,14 @@ def cut_text(docs: DataFrame, text_column: str = "text", **sizes: int) -> DataFr
     cut = remove(docs.withColumn("_rb_null", F.col(text_column).isNull()), spans(docs, text_column, **sizes), text_column)
     names = [c for c in docs.columns if c != text_column]
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns)
-    place = docs.columns.index(text_column)
+    place, every = docs.columns.index(text_column), docs.columns
 
     def decoded(batches):
         for batch in batches:
             kept = [None if null else raw.decode("utf-8", "ignore") for raw, null in zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True)]
             columns = list(batch.columns[: len(names)])
             columns.insert(place, pa.array(kept, pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=every)
 
     return cut.select(*names, "_rb_kept", "_rb_null").mapInArrow(decoded, fields)
 
