@@ -11,10 +11,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch sent to a Python worker; bounds the memory of both sides, whatever the rows' length.
+ARROW_BYTES = 8 << 20
+_ARROW_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship_code(spark: SparkSession) -> SparkSession:
-    """Give the package to the executors' Python workers, once for each application."""
+    """Give the package to the executors' Python workers, once for each application, and bound Arrow batches."""
+    if spark.sparkContext.getConf().get(_ARROW_SETTING) is None:
+        spark.conf.set(_ARROW_SETTING, str(ARROW_BYTES))
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         _shipped.add(app)
