@@ -49,7 +49,7 @@ SHORT = 20
 #: Texts of a bucket that are compared pair by pair.
 SMALL = 24
 #: Words whose hashes a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _rng = np.random.default_rng(20240229)
 _STEP = _rng.integers(1, 2**63, SHINGLE, dtype=np.uint64) | np.uint64(1)
