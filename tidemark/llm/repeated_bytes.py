@@ -44,6 +44,8 @@ LENGTH = 400
 GRAM = 128
 #: Contexts of one gram that one task may hold.
 GROUP = 2048
+#: Grams with more contexts than that whose list is broadcast (8 bytes each); beyond, they are joined by shuffle.
+CROWDED = 50_000
 #: Bytes of contexts sorted at once.
 BLOCK = 4 << 20
 #: Bytes of texts scanned at once.
@@ -322,10 +324,16 @@ def spans(docs: DataFrame, text_column: str = "text", length: int = LENGTH, gram
     grams = materialize(grams.select("gram", "n", (F.col("least") != F.col("most")).alias("open")), "grams")
     open_grams = grams.where("open")
     fetched = materialize(texts.mapInArrow(_scan(length, gram, "contexts", bloom(open_grams, "gram")), f"{schema}, bytes binary"), "contexts")
-    cold, warm = (open_grams.where(f"n {sign} {group}").select("gram") for sign in ("<=", ">"))
+    crowded = grams.where(f"n > {group}").select("gram")
+    # the filter lets some other grams through, which do no harm if none of them is crowded
+    if crowded.count() <= CROWDED:
+        cold = fetched.join(F.broadcast(crowded), "gram", "left_anti")
+    else:
+        cold = fetched.join(open_grams.where(f"n <= {group}").select("gram"), "gram", "left_semi")
+    warm = open_grams.where(f"n > {group}").select("gram")
 
     solved = "gram long, context long, left int, cover_left int, cover_right int"
-    dealt = fetched.join(cold, "gram", "left_semi").repartition("gram").sortWithinPartitions("gram", "context", "left")
+    dealt = cold.repartition("gram").sortWithinPartitions("gram", "context", "left")
     covered = dealt.mapInArrow(_blocks(length, group), solved)
     hot = fetched.join(warm, "gram", "left_semi").groupBy("gram", "context", "left", "right").agg(F.any_value("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
     hot = materialize(hot, "hot")
