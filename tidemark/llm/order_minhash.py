@@ -17,9 +17,12 @@ Identical texts are one node throughout. In a bucket of texts with a common key
 compared with the bucket's least node; components follow. Where a bucket of up to SMALL texts still
 has several components, their texts are compared pair by pair. The texts of larger ones, such as a
 crowd that shares a passage but is not alike, are sketched again at the second level, with more
-k-mers to a key and more keys, and their new buckets go the same way, whatever their size. So no
-bucket is expanded into pairs of texts that are known to be in one class, pairs within a bucket
-stay linear in the texts, and no link between classes is lost; no text or candidate is dropped.
+k-mers to a key and more keys. Their new buckets get stars and components too; where one is still
+split, its texts are compared in tiles of bounded size: those of different components with at least
+SHARED equal keys (a pair at the threshold has about 13) are verified there, each pair in the bucket
+of its least common key only, and just the links leave the task. So no bucket is expanded into pairs
+of texts that are known to be in one class, no task holds an unbounded bucket, and no text is
+dropped.
 
 Rows: null text is in a class of its own (its doc_id). Texts without a word are only alike when
 identical. The class id is the least doc_id of the class, or null if all are null. Repeated rows
@@ -42,12 +45,16 @@ from tidemark.llm.components import connected_components
 SHINGLE = 5
 SIMILARITY = 0.8
 #: (bands, k-mers of a short text's sketch, k-mers of a long text's sketch) of each level
-LEVELS = ((32, 2, 5), (128, 4, 10))
+LEVELS = ((32, 2, 5), (160, 4, 10))
 #: Texts of fewer k-mers than SHORT_ONLY_BELOW have short sketches only, texts of more than SHORT long ones only.
 SHORT_ONLY_BELOW = 16
 SHORT = 20
 #: Texts of a bucket that are compared pair by pair.
-SMALL = 24
+SMALL = 4
+#: Keys of the second level that a pair of a crowded bucket must share.
+SHARED = 3
+#: Texts of a tile's side.
+TILE = 256
 #: Words whose hashes a worker remembers.
 REMEMBERED = 150_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -218,7 +225,8 @@ def _wanted(filter_: np.ndarray, deep: bool):
                 rows = [shingles(t) for t in batch.column(2).to_pylist()]
                 if deep:
                     keys = pa.array([sketch_keys(r, 1) for r in rows], pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) for r in rows], pa.int32()), keys], names=["node", "kmers", "keys"])
+                    sequences = pa.array([r.tobytes() for r in rows], pa.binary())
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) for r in rows], pa.int32()), keys, sequences], names=["node", "kmers", "keys", "sequence"])
                 else:
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], names=["node", "sequence"])
 
@@ -288,6 +296,59 @@ def _across(split: DataFrame, least: float) -> DataFrame:
     return split.join(other, "key").where("node > b and root <> other_root").where(_alike(least)).select(F.col("node").alias("a"), "b").distinct()
 
 
+def _tiles(split: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between a split bucket's nodes in different components.
+
+    A bucket of n texts is cut into n / TILE blocks; a tile compares two of them, inside one task.
+    """
+    count = F.ceil(F.col("n") / TILE).cast("int")
+    block = F.pmod(F.xxhash64("node"), count).cast("int")
+    rows = split.join(texts.select("node", "keys", "sequence"), "node").withColumn("block", block)
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), count - 1)))
+    rows = rows.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "root", "keys", "sequence")
+    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(_compared(least), "a binary, b binary")
+
+
+def _compared(least: float):
+    def solve(rows: list[tuple]) -> pa.RecordBatch | None:
+        key, i, j = rows[0][:3]
+        found = []
+        for size in {len(r[6]) for r in rows}:  # texts of one kind of sketch
+            left, right = ([r for r in rows if r[3] == side and len(r[6]) == size] for side in (i, j))
+            if not left or not right:
+                continue
+            keys = np.array([r[6] for r in right], np.int64)
+            texts = [np.frombuffer(r[7], np.uint64) for r in right]
+            counts, roots = np.array([len(t) for t in texts]), np.array([r[5] for r in right], object)
+            for r in left:
+                same = keys == np.array(r[6], np.int64)
+                own = np.frombuffer(r[7], np.uint64)
+                alike = np.minimum(counts, len(own)) >= least * np.maximum(counts, len(own))
+                for k in np.flatnonzero((same.sum(axis=1) >= SHARED) & alike & (roots != r[5])).tolist():
+                    x, y = r[4], right[k][4]
+                    if (i != j or x > y) and keys[k][same[k]].min() == key and similarity(own, texts[k], least) >= least:
+                        found.append((max(x, y), min(x, y)))
+        if found:
+            return pa.RecordBatch.from_arrays([pa.array([f[side] for f in found], pa.binary()) for side in (0, 1)], names=["a", "b"])
+        return None
+
+    def run(batches):
+        held: list[tuple] = []
+        for whole in batches:
+            for batch in slices(whole):
+                for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    if held and held[-1][:3] != row[:3]:
+                        if len(held) > 1 and (out := solve(held)):
+                            yield out
+                        held = []
+                    held.append(row)
+        if len(held) > 1 and (out := solve(held)):
+            yield out
+
+    return run
+
+
 def _more(docs: DataFrame, pairs: DataFrame, tested: DataFrame, links: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Verify pairs that weren't tested yet: all tested pairs, all links, and their components."""
     new = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
@@ -307,14 +368,16 @@ def components(docs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     crowded = materialize(large.select("node").distinct().withColumn("k", F.xxhash64("node")), "crowded")
     if crowded.isEmpty():
         return _more(docs, pairs, tested, links, least)[2]
-    found = _texts(docs).mapInArrow(_wanted(bloom(crowded, "k"), True), "node binary, kmers int, keys array<bigint>")
-    again = found.join(crowded.select("node"), "node", "left_semi").groupBy("node").agg(F.any_value("kmers").alias("kmers"), F.any_value("keys").alias("keys"))
+    found = _texts(docs).mapInArrow(_wanted(bloom(crowded, "k"), True), "node binary, kmers int, keys array<bigint>, sequence binary")
+    again = found.join(crowded.select("node"), "node", "left_semi").groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("kmers", "keys", "sequence")])
+    again = materialize(again, "deep")
     deep = _members(again)
     tested, links, roots = _more(docs, pairs.unionByName(_stars(deep, least)).distinct(), tested, links, least)
     rest = _split(deep, roots)
     if rest.isEmpty():
         return roots
-    return _more(docs, _across(rest, least), tested, links, least)[2]
+    across = materialize(_tiles(rest, again, least), "links")
+    return materialize(connected_components(links.unionByName(across)), "roots")
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
