@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import per_batch, slices
 
 BUCKETS = 1 << 20
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 8_000
 TOP_FEATURES = 3_000
 PENALTY = 0.3
 ROUNDS = 400
@@ -89,22 +89,26 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(score - self.thresholds, -40, 40)))
 
 
-def train(grades: np.ndarray, row: np.ndarray, feature: np.ndarray, count: np.ndarray, weight: np.ndarray) -> Model:
-    """Fit to sparse counts: entry e says that row[e] has count[e] of feature[e]."""
+def train(grades: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], weight: np.ndarray) -> Model:
+    """Fit to sparse rows, each (feature numbers, counts)."""
     levels = int(grades.max(initial=0))
     if not len(grades) or levels == 0 or grades.min() == levels:
         return Model({}, np.full(levels, -40.0))
     toxic = grades > 0
-    seen = [np.bincount(feature[toxic[row] == t], weights=weight[row][toxic[row] == t], minlength=BUCKETS) for t in (False, True)]
+    seen, often = np.zeros((2, BUCKETS)), np.zeros(BUCKETS, np.int32)
+    for (feature, _), t, w in zip(rows, toxic.astype(int).tolist(), weight.tolist(), strict=True):
+        seen[t][feature] += w  # a row has each feature once
+        often[feature] += 1
     mass = [weight[~toxic].sum(), weight[toxic].sum()]
     share = (seen[0] + seen[1]) / sum(mass)
     z = (seen[1] / mass[1] - seen[0] / mass[0]) / np.sqrt(np.maximum(share * (1 - share), 1e-12))
-    z[np.bincount(feature, minlength=BUCKETS) < 4] = 0
+    z[often < 4] = 0
     chosen = np.argsort(-np.abs(z), kind="stable")[:TOP_FEATURES]
     place = np.full(BUCKETS, -1)
     place[chosen] = np.arange(len(chosen))
-    use = place[feature] >= 0
-    row, column, value = row[use], place[feature[use]], np.log1p(count[use])
+    kept = [(place[f][place[f] >= 0], np.log1p(c[place[f] >= 0].astype(float))) for f, c in rows]
+    row = np.repeat(np.arange(len(rows)), [len(f) for f, _ in kept])
+    column, value = np.concatenate([f for f, _ in kept]), np.concatenate([v for _, v in kept])
     n, line = len(grades), np.arange(len(grades))
     w = np.zeros(len(chosen))
     tail = np.array([weight[grades > k].sum() / weight.sum() for k in range(levels)])
@@ -140,22 +144,18 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, rows: int = SAMPLE_RO
     def counted(batches):
         for whole in batches:
             for batch in slices(whole):
-                found = [features(t) for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([np.array(sorted(f), "<u4").tobytes() for f in found], pa.binary()), pa.array([np.array([f[k] for k in sorted(f)], "<u2" if max(f.values(), default=0) < 65536 else "<u4").astype("<u4").tobytes() for f in found], pa.binary())],
-                    names=["grade", "features", "counts"],
-                )
+                found = [sorted(features(t).items()) for t in batch.column(1).to_pylist()]
+                numbers = pa.array([np.array([f for f, _ in own], "<u4").tobytes() for own in found], pa.binary())
+                counts = pa.array([np.array([min(n, 65535) for _, n in own], "<u2").tobytes() for own in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), numbers, counts], names=["grade", "features", "counts"])
 
     sample = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("grade", "text")
-    got = sample.mapInArrow(counted, "grade int, features binary, counts binary").limit(4 * rows).collect()
-    got.sort(key=lambda r: (r.grade, bytes(r.features), bytes(r.counts)))
-    grades = np.array([r.grade for r in got], np.int64)
-    feature = [np.frombuffer(r.features, "<u4").astype(np.int64) for r in got]
-    count = [np.frombuffer(r.counts, "<u4").astype(float) for r in got]
-    row = np.repeat(np.arange(len(got)), [len(f) for f in feature])
+    got = sample.mapInArrow(counted, "grade int, features binary, counts binary").limit(2 * rows).toArrow()
+    order = sorted(range(got.num_rows), key=lambda k: (got.column(0)[k].as_py(), got.column(1)[k].as_py(), got.column(2)[k].as_py()))
+    grades = got.column(0).to_numpy()[order].astype(np.int64)
+    sparse = [(np.frombuffer(got.column(1)[k].as_buffer(), "<u4"), np.frombuffer(got.column(2)[k].as_buffer(), "<u2")) for k in order]
     weight = np.array([1 / rate[g] for g in grades.tolist()])
-    joined = [np.concatenate(x) if x else np.empty(0) for x in (feature, count)]
-    return train(grades, row, joined[0].astype(np.int64), joined[1], weight * len(weight) / max(weight.sum(), 1e-9))
+    return train(grades, sparse, weight * len(weight) / max(weight.sum(), 1e-9))
 
 
 def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
