@@ -326,11 +326,11 @@ def spans(docs: DataFrame, text_column: str = "text", length: int = LENGTH, gram
     fetched = materialize(texts.mapInArrow(_scan(length, gram, "contexts", bloom(open_grams, "gram")), f"{schema}, bytes binary"), "contexts")
     crowded = grams.where(f"n > {group}").select("gram")
     # the filter lets some other grams through, which do no harm if none of them is crowded
+    warm = open_grams.where(f"n > {group}").select("gram")
     if crowded.count() <= CROWDED:
-        cold = fetched.join(F.broadcast(crowded), "gram", "left_anti")
+        cold, warm = fetched.join(F.broadcast(crowded), "gram", "left_anti"), F.broadcast(warm)
     else:
         cold = fetched.join(open_grams.where(f"n <= {group}").select("gram"), "gram", "left_semi")
-    warm = open_grams.where(f"n > {group}").select("gram")
 
     solved = "gram long, context long, left int, cover_left int, cover_right int"
     dealt = cold.repartition("gram").sortWithinPartitions("gram", "context", "left")
