@@ -106,10 +106,10 @@ def query_as_of(records: DataFrame, cutoff: Column, tickers: list[str] | None =
     return current
 
 
-def effective_entries(registry: DataFrame, day: Column, cutoff: Column, retrospective: bool = False) -> Column:
-    """Whether a registry row holds on day (end exclusive) and was known at cutoff."""
-    known = F.lit(True) if retrospective else registry["known_at"] <= cutoff
-    return (registry["effective_from"] <= day) & (registry["effective_to"].isNull() | (day < registry["effective_to"])) & known
+def effective_entries(day: Column, cutoff: Column, retrospective: bool = False) -> Column:
+    """Whether a registry row (effective_from, effective_to, known_at) holds on day, its end excluded, and was known at cutoff."""
+    known = F.lit(True) if retrospective else F.col("known_at") <= cutoff
+    return (F.col("effective_from") <= day) & (F.col("effective_to").isNull() | (day < F.col("effective_to"))) & known
 
 
 def contamination(features: DataFrame, events: DataFrame, calendar: DataFrame, before: int = 1, after: int = 1) -> DataFrame:
