@@ -20,19 +20,17 @@ ESSENTIAL = (
     "volume_ratio_20d", "max_drawdown_60d", "spy_return_20d", "correlation_spy_20d", "beta_20d",
 )
 
-close, opening, high, low, volume = (F.col(c) for c in ("close", "open", "high", "low", "volume"))
-
 
 def window(keys: list[str] | None = None):
     return by_time(keys or ["ticker"], "trading_date")
 
 
 def returns(w) -> dict[str, Column]:
-    return {f"return_{n}d": change(close, n, w) for n in (1, 2, 5, 10, 20, 60)}
+    return {f"return_{n}d": change(F.col("close"), n, w) for n in (1, 2, 5, 10, 20, 60)}
 
 
 def momentum(w) -> dict[str, Column]:
-    return {f"momentum_{n}d": change(close, n, w) for n in (5, 10, 20, 60, 120)}
+    return {f"momentum_{n}d": change(F.col("close"), n, w) for n in (5, 10, 20, 60, 120)}
 
 
 def volatility(w) -> dict[str, Column]:
@@ -49,29 +47,29 @@ def downside_volatility(w) -> dict[str, Column]:
 
 
 def gaps(w) -> dict[str, Column]:
-    gap = F.try_divide(opening, F.lag(close).over(w)) - 1
-    return {"gap_open": gap, "overnight_return": gap, "intraday_return": F.try_divide(close, opening) - 1}
+    gap = F.try_divide(F.col("open"), F.lag(F.col("close")).over(w)) - 1
+    return {"gap_open": gap, "overnight_return": gap, "intraday_return": F.try_divide(F.col("close"), F.col("open")) - 1}
 
 
 def true_range(w) -> dict[str, Column]:
-    before = F.lag(close).over(w)
-    return {"true_range": F.greatest(high - low, F.abs(high - before), F.abs(low - before))}
+    before = F.lag(F.col("close")).over(w)
+    return {"true_range": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))}
 
 
 def average_true_range(w) -> dict[str, Column]:
     """Needs true_range."""
     atr = full(F.avg, F.col("true_range"), 14, w)
-    return {"atr_14": atr, "atr_pct": F.try_divide(atr, close)}
+    return {"atr_14": atr, "atr_pct": F.try_divide(atr, F.col("close"))}
 
 
 def moving_averages(w) -> dict[str, Column]:
-    return {f"distance_ma{n}": F.try_divide(close - full(F.avg, close, n, w), full(F.avg, close, n, w)) for n in (10, 20, 50, 200)}
+    return {f"distance_ma{n}": F.try_divide(F.col("close") - full(F.avg, F.col("close"), n, w), full(F.avg, F.col("close"), n, w)) for n in (10, 20, 50, 200)}
 
 
 def volumes(w) -> dict[str, Column]:
-    out = {f"volume_ratio_{n}d": F.try_divide(volume, full(F.avg, volume, n, w)) for n in (5, 20)}
-    out["volume_change_1d"] = change(volume, 1, w)
-    return out | {f"avg_dollar_volume_{n}d": full(F.avg, close * volume, n, w) for n in (20, 60)}
+    out = {f"volume_ratio_{n}d": F.try_divide(F.col("volume"), full(F.avg, F.col("volume"), n, w)) for n in (5, 20)}
+    out["volume_change_1d"] = change(F.col("volume"), 1, w)
+    return out | {f"avg_dollar_volume_{n}d": full(F.avg, F.col("close") * F.col("volume"), n, w) for n in (20, 60)}
 
 
 def drawdowns(w) -> dict[str, Column]:
@@ -85,13 +83,13 @@ def drawdowns(w) -> dict[str, Column]:
             top = F.greatest(a["top"], x)
             return F.struct(top.alias("top"), F.least(a["worst"], F.try_divide(x, top) - 1).alias("worst"))
 
-        return F.when(F.count(close).over(frame) == n, F.aggregate(F.collect_list(close).over(frame), start, step, lambda a: a["worst"]))
+        return F.when(F.count(F.col("close")).over(frame) == n, F.aggregate(F.collect_list(F.col("close")).over(frame), start, step, lambda a: a["worst"]))
 
     return {f"max_drawdown_{n}d": of(n) for n in (20, 60)}
 
 
 def year_range(w) -> dict[str, Column]:
-    return {"distance_52w_high": F.try_divide(close, full(F.max, close, YEAR, w)) - 1, "distance_52w_low": F.try_divide(close, full(F.min, close, YEAR, w)) - 1}
+    return {"distance_52w_high": F.try_divide(F.col("close"), full(F.max, F.col("close"), YEAR, w)) - 1, "distance_52w_low": F.try_divide(F.col("close"), full(F.min, F.col("close"), YEAR, w)) - 1}
 
 
 def percentiles(w) -> dict[str, Column]:
@@ -103,15 +101,15 @@ def percentiles(w) -> dict[str, Column]:
         less, equal = F.size(F.filter(held, lambda v: v < x)), F.size(F.filter(held, lambda v: v == x))
         return F.when(F.count(x).over(frame) == YEAR, (less + (equal - 1) / 2) / (YEAR - 1))
 
-    return {"percentile_price_252d": of(close), "percentile_volume_252d": of(volume), "percentile_volatility_252d": of(F.col("volatility_20d"))}
+    return {"percentile_price_252d": of(F.col("close")), "percentile_volume_252d": of(F.col("volume")), "percentile_volatility_252d": of(F.col("volatility_20d"))}
 
 
 def against_market(w) -> dict[str, Column]:
     """Needs market_close (the benchmark's close on the row's date)."""
     m = F.col("market_close")
     out = {f"spy_return_{n}d": change(m, n, w) for n in (1, 5, 20)}
-    out |= {f"excess_return_{n}d": change(close, n, w) - change(m, n, w) for n in (5, 20)}
-    return out | {f"relative_momentum_spy_{n}d": change(close, n, w) - change(m, n, w) for n in (5, 20, 60)}
+    out |= {f"excess_return_{n}d": change(F.col("close"), n, w) - change(m, n, w) for n in (5, 20)}
+    return out | {f"relative_momentum_spy_{n}d": change(F.col("close"), n, w) - change(m, n, w) for n in (5, 20, 60)}
 
 
 def co_movement(w) -> dict[str, Column]:

@@ -135,7 +135,7 @@ def a12_health(spark, sf_dir):
 
 
 def t04_extremes(spark, sf_dir):
-    rows = base.bars(spark, sf_dir).select("ticker", "trading_date", F.round("close", 4).alias("close"))
+    rows = base.bars(spark, sf_dir).select("ticker", "trading_date", "close")
     return quality.extremes(rows, "close")
 
 
@@ -337,7 +337,7 @@ ORACLES = {
     "w25_gaps": base.sql("select s.ticker, session from (select ticker, min(trading_date) as a, max(trading_date) as b from bars group by 1) s join calendar on session between a and b left join bars x on x.ticker = s.ticker and x.trading_date = session where x.ticker is null"),
     "a11_diagnostics": base.sql("select ticker, count(*) as bars, min(trading_date) as first_date, max(trading_date) as last_date, count(case when high < low then 1 end) as inverted, count(case when volume <= 0 then 1 end) as without_volume from bars group by 1"),
     "a10_coverage": base.sql("select min(n) as least, median(n) as median, avg(n) as mean, max(n) as most from (select session, count(distinct ticker) as n from calendar left join bars on trading_date = session and volume > 30 group by 1)"),
-    "t04_extremes": base.sql("select * from (select ticker, trading_date, round(close, 4) as close, 'high' as side from bars order by 3 desc, 1, 2 limit 25) union all select * from (select ticker, trading_date, round(close, 4) as close, 'low' as side from bars order by 3, 1, 2 limit 25)"),
+    "t04_extremes": base.sql("select * from (select ticker, trading_date, close, 'high' as side from bars order by 3 desc, 1, 2 limit 25) union all select * from (select ticker, trading_date, close, 'low' as side from bars order by 3, 1, 2 limit 25)"),
     "t07_round_robin": "select doc_id, lang from (select doc_id, lang, row_number() over (partition by lang order by doc_id) as n from documents) order by n, lang limit 50",
     "a13_counts": "select event_type, count(*) as n from events group by 1",
     "a18_costs": "select event_type, day, cast(sum(case when event_id % 10 > 0 then cast(value as decimal(18,2)) end) as double) as cost, count(case when event_id % 10 = 0 then 1 end) as unknown, grouping_id(event_type, day) as level from (select *, dayofmonth(ts) as day from events) group by cube (event_type, day)",
