@@ -234,22 +234,43 @@ def without(text: str, spans: list[dict]) -> str:
     return b"".join([*out, raw[at:]]).decode()
 
 
-def cut_text(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", **options) -> DataFrame:
-    """docs without the text of benchmark windows; null text stays null."""
+def cut_text(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs without the text of benchmark windows; null text stays null.
+
+    With one block of benchmark text, found and cut in the same pass.
+    """
     names = docs.columns
-    found = find(docs, benchmark, id_column=names[0], text_column=text_column, keep=tuple(names), **options)
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
     at, last = names.index(text_column), len(names)
+    blocks = list(_split(benchmark, item_column, item_text, block_bytes))
 
-    def run(batches):
+    def replaced(batch: pa.RecordBatch, texts: list) -> pa.RecordBatch:
+        columns = list(batch.columns[:last])
+        columns[at] = pa.array(texts, pa.string())
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    if len(blocks) == 1:
+        items = blocks[0]()
+
+        def run(batches):
+            phrases = _phrases(items, window)
+            for whole in batches:
+                for batch in slices(whole):
+                    texts = batch.column(at).to_pylist()
+                    for d, (spans, _) in batch_spans(texts, phrases)[1].items():
+                        texts[d] = without(texts[d], [{"first": a, "last": b} for a, b in spans.tolist()])
+                    yield replaced(batch, texts)
+
+        return docs.mapInArrow(run, fields)
+
+    def cut(batches):
         for batch in batches:
-            texts, spans = batch.column(at).to_pylist(), batch.column(last).to_pylist()
-            cut = [without(t, s) if s else t for t, s in zip(texts, spans, strict=True)]
-            columns = list(batch.columns[:last])
-            columns[at] = pa.array(cut, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            rows = zip(batch.column(at).to_pylist(), batch.column(last).to_pylist(), strict=True)
+            yield replaced(batch, [without(t, s) if s else t for t, s in rows])
 
-    return found.select(*names, "spans").mapInArrow(run, fields)
+    others = [c for c in names if c != text_column]
+    found = find(docs, benchmark, others[0], text_column, item_column, item_text, window, block_bytes, keep=tuple(names))
+    return found.select(*names, "spans").mapInArrow(cut, fields)
 
 
 def digest(found: DataFrame, id_column: str = "doc_id") -> DataFrame:

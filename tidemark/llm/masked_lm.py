@@ -197,7 +197,7 @@ def score(docs: DataFrame, vocabulary: Vocabulary, parameters: np.ndarray, id_co
                     part = slice(start, start + 4 * BATCH)
                     _, logs = network.forward(context[part])
                     each[part] = logs[np.arange(len(logs)), target[part]] + vocabulary.share[words[part]]
-                total = np.bincount(np.repeat(np.arange(len(own)), size), weights=each, minlength=len(own))
+                total = np.bincount(np.repeat(np.arange(len(own)), size), weights=each, minlength=len(own)).astype(float)  # whole numbers where there is no word
                 mean = pa.array(np.where(size > 0, total / np.maximum(size, 1), 0.0), mask=size == 0)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(total), mean], names=[id_column, "n_tokens", "log_prob", "mean_log_prob"])
 

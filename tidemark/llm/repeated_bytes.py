@@ -50,6 +50,8 @@ CROWDED = 50_000
 BLOCK = 4 << 20
 #: Bytes of texts scanned at once.
 SLICE = 64 << 10
+#: Bytes of texts moved at once when spans are cut.
+MOVED = 1 << 20
 #: Offsets of one bin of a gram with over GROUP contexts.
 BIN = 35
 #: Bits of an anchor key that hold the place; the others hold the gram's hash.
@@ -365,19 +367,20 @@ def _kept(raw: bytes, covered: list[dict]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-def remove(docs: DataFrame, found: DataFrame, text_column: str = "text") -> DataFrame:
-    """docs with _rb_kept (remaining bytes), _rb_bytes and _rb_spans; text_column is dropped.
+def remove(docs: DataFrame, found: DataFrame, text_column: str = "text", as_text: bool = False) -> DataFrame:
+    """docs with _rb_kept (remaining bytes, or with as_text their text), _rb_bytes and _rb_spans; text_column is dropped.
 
     Texts without a span stay where they are; the others meet their spans by the text's hash.
     """
     names = [c for c in docs.columns if c != text_column]
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in names)
     filter_ = bloom(found, "k1")
     count = len(names)
+    kind, arrow = ("string", pa.string()) if as_text else ("binary", pa.binary())
 
     def keyed(batches):
         for whole in batches:
-            for batch in slices(whole, SLICE):
+            for batch in slices(whole, MOVED):
                 raws = [b"" if t is None else t.encode() for t in batch.column(count).to_pylist()]
                 keys = [text_key(r) for r in raws]
                 k1, k2 = (np.array([k[j] for k in keys], np.int64) for j in (0, 1))
@@ -385,17 +388,19 @@ def remove(docs: DataFrame, found: DataFrame, text_column: str = "text") -> Data
 
     def cut(batches):
         for whole in batches:
-            for batch in slices(whole, SLICE):
-                rows = zip(batch.column(count).to_pylist(), batch.column(count + 1).to_pylist(), strict=True)
-                kept = [_kept(raw, covered or []) for raw, covered in rows]
-                size = pa.array([len(r) for r in batch.column(count).to_pylist()], pa.int64())
-                yield pa.RecordBatch.from_arrays([*batch.columns[:count], pa.array(kept, pa.binary()), size, batch.column(count + 1)], names=[*names, "_rb_kept", "_rb_bytes", "_rb_spans"])
-
-    rows = docs.select(*names, text_column).mapInArrow(keyed, f"{fields + ', ' if fields else ''}_rb_raw binary, k1 long, k2 long, _rb_maybe boolean")
+            for batch in slices(whole, MOVED):
+                raws = batch.column(count).to_pylist()
+                kept = [_kept(raw, covered or []) for raw, covered in zip(raws, batch.column(count + 1).to_pylist(), strict=True)]
+                kept = [k.decode("utf-8", "ignore") for k in kept] if as_text else kept
+                size = pa.array([len(r) for r in raws], pa.int64())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:count], pa.array(kept, arrow), size, batch.column(count + 1)], names=[*names, "_rb_kept", "_rb_bytes", "_rb_spans"])
+
+    rows = docs.select(*names, text_column).mapInArrow(keyed, f"{fields}_rb_raw binary, k1 long, k2 long, _rb_maybe boolean")
     none = F.lit(None).cast("array<struct<first:int,last:int>>")
-    clean = rows.where("not _rb_maybe").select(*names, "_rb_raw", none.alias("spans"))
+    kept = F.decode("_rb_raw", "utf-8") if as_text else F.col("_rb_raw")
+    clean = rows.where("not _rb_maybe").select(*names, kept.alias("_rb_kept"), F.octet_length("_rb_raw").cast("long").alias("_rb_bytes"), none.alias("_rb_spans"))
     touched = rows.where("_rb_maybe").join(found, ["k1", "k2"], "left").select(*names, "_rb_raw", "spans")
-    return clean.unionByName(touched).mapInArrow(cut, f"{fields + ', ' if fields else ''}_rb_kept binary, _rb_bytes long, _rb_spans array<struct<first:int,last:int>>")
+    return clean.unionByName(touched.mapInArrow(cut, f"{fields}_rb_kept {kind}, _rb_bytes long, _rb_spans array<struct<first:int,last:int>>"))
 
 
 def digest(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **sizes: int) -> DataFrame:
@@ -416,19 +421,10 @@ def cut_text(docs: DataFrame, text_column: str = "text", **sizes: int) -> DataFr
 
     A character that loses one of its bytes goes as a whole.
     """
-    cut = remove(docs.withColumn("_rb_null", F.col(text_column).isNull()), spans(docs, text_column, **sizes), text_column)
-    names = [c for c in docs.columns if c != text_column]
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns)
-    place, every = docs.columns.index(text_column), docs.columns
-
-    def decoded(batches):
-        for batch in batches:
-            kept = [None if null else raw.decode("utf-8", "ignore") for raw, null in zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True)]
-            columns = list(batch.columns[: len(names)])
-            columns.insert(place, pa.array(kept, pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names=every)
-
-    return cut.select(*names, "_rb_kept", "_rb_null").mapInArrow(decoded, fields)
+    marked = docs.withColumn("_rb_null", F.col(text_column).isNull())
+    cut = remove(marked, spans(docs, text_column, **sizes), text_column, as_text=True)
+    text = F.when(~F.col("_rb_null"), F.col("_rb_kept")).alias(text_column)
+    return cut.select(*[text if c == text_column else F.col(c) for c in docs.columns])
 
 
 def brute_force(texts: list[str | None], length: int) -> list[tuple[int, int, int, str]]:
