@@ -78,12 +78,13 @@ def per_batch(function: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[
     return run
 
 
-def slices(batch: pa.RecordBatch, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part has about most_bytes at most, one row at least."""
     rows = batch.num_rows
     step = rows if batch.nbytes <= most_bytes else max(1, int(rows * most_bytes / batch.nbytes))
     for start in range(0, rows, max(1, step)):
         yield batch.slice(start, step)
+    pa.default_memory_pool().release_unused()
 
 
 BLOOM_BITS = 1 << 26

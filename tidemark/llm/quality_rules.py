@@ -30,6 +30,8 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import materialize
+
 WHITE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -199,7 +201,8 @@ def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> Dat
 
 def keep(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """The documents that pass, with their own columns."""
-    cutoffs = calibrate(measure(docs.select("doc_id", stratum, "text")), labels, stratum)
+    measured = materialize(measure(docs.select("doc_id", stratum, "text")).drop("text"), "quality")
+    cutoffs = calibrate(measured, labels, stratum)
     # a non-deterministic column keeps the filter above the measures, which would else be computed again for it
     judged = judge(measure(docs).withColumn("_q_once", F.rand(0)), cutoffs, stratum)
     return judged.where(F.col("_q_kept") & (F.col("_q_once") >= 0)).select(*docs.columns)
