@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import byte_bpe, compression_langid, decontaminate, html_layout, masked_lm, order_minhash, ordinal_toxicity, quality_rules, repeated_bytes, token_attribution
+from tidemark.llm import oracles as sql
 from tidemark.llm.common import materialize, read
 
 #: The rank file's place is a parameter; the file is read on the driver and sent with the tasks (under 1 MB).
@@ -97,4 +98,7 @@ def queries() -> dict:
 
 
 def oracles() -> dict:
-    return {}
+    return {
+        "op2_quality_rules": sql.quality(),
+        "op9_fm_decontamination": sql.decontamination(),
+    }
