@@ -399,7 +399,8 @@ def remove(docs: DataFrame, found: DataFrame, text_column: str = "text", as_text
     none = F.lit(None).cast("array<struct<first:int,last:int>>")
     kept = F.decode("_rb_raw", "utf-8") if as_text else F.col("_rb_raw")
     clean = rows.where("not _rb_maybe").select(*names, kept.alias("_rb_kept"), F.octet_length("_rb_raw").cast("long").alias("_rb_bytes"), none.alias("_rb_spans"))
-    touched = rows.where("_rb_maybe").join(found.hint("merge"), ["k1", "k2"], "left")  # spans grow with the texts.select(*names, "_rb_raw", "spans")
+    # spans grow with the texts, so they are never broadcast
+    touched = rows.where("_rb_maybe").join(found.hint("merge"), ["k1", "k2"], "left").select(*names, "_rb_raw", "spans")
     return clean.unionByName(touched.mapInArrow(cut, f"{fields}_rb_kept {kind}, _rb_bytes long, _rb_spans array<struct<first:int,last:int>>"))
 
 
