@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from math import comb
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,6 +136,31 @@ def test_near_classes(spark, monkeypatch, small_bucket):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(wanted)
 
 
+def test_crowded_texts_across_the_sketch_sizes():
+    """Every similar pair of a crowd of 14-17 and 19-22 k-mers that has a bucket is linked in one of them."""
+    rnd = random.Random(8)
+    rows, kmers = defaultdict(list), []
+    for n in (22, 26):
+        base = [f"w{n}_{k}" for k in range(n)]
+        for k in range(60):
+            kmers.append(order_minhash.shingles(" ".join([*base[: n - 4 + k % 4], f"x{rnd.randint(0, 3)}"])))
+    for k, own in enumerate(kmers):
+        node = b"%03d" % k
+        keys = order_minhash.sketch_keys(own, 1).tolist()
+        for key in keys:
+            rows[key].append((key, 0, 0, 0, node, node, keys, own.tobytes()))
+    assert {len(own) for own in kmers} == {15, 16, 17, 18, 19, 20, 21, 22}
+    names = ["key", "i", "j", "block", "node", "root", "keys", "sequence"]
+    columns = list(zip(*[r for key in sorted(rows) for r in rows[key]], strict=True))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+    got = Counter((int(a), int(b)) for out in order_minhash._compared(0.8)(iter([batch])) for a, b in zip(*[c.to_pylist() for c in out.columns], strict=True))
+    shared = [set(order_minhash.sketch_keys(own, 1).tolist()) for own in kmers]
+    wanted = {(a, b) for a in range(len(kmers)) for b in range(a) if len(shared[a] & shared[b]) >= order_minhash.SHARED and order_minhash.similarity(kmers[a], kmers[b]) >= 0.8}
+    sizes = {tuple(sorted((len(kmers[a]), len(kmers[b])))) for a, b in wanted}
+    assert (15, 16) in sizes and (20, 21) in sizes
+    assert got == Counter(wanted)
+
+
 def test_near_classes_of_nothing(spark):
     assert order_minhash.classes(docs_of(spark, ["a"]).limit(0)).isEmpty()
 

@@ -19,7 +19,7 @@ has several components, their texts are compared pair by pair. The texts of larg
 crowd that shares a passage but is not alike, are sketched again at the second level, with more
 k-mers to a key and more keys. Their new buckets get stars and components too; where one is still
 split, its texts are compared in tiles of bounded size: those of different components with at least
-SHARED equal keys (a pair at the threshold has about 13) are verified there, each pair in the bucket
+SHARED equal keys of sketches that both have (a pair at the threshold has about 13) are verified there, each pair in the bucket
 of its least common key only, and just the links leave the task. So no bucket is expanded into pairs
 of texts that are known to be in one class, no task holds an unbounded bucket, and no text is
 dropped.
@@ -310,25 +310,33 @@ def _tiles(split: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return dealt.mapInArrow(_compared(least), "a binary, b binary")
 
 
+def _kinds(n: int, bands: int) -> slice:
+    """Where the keys of a text of n k-mers belong among those of short and then long sketches."""
+    return slice(0 if n <= SHORT else bands, 2 * bands if n >= SHORT_ONLY_BELOW else bands)
+
+
 def _compared(least: float):
     def solve(rows: list[tuple]) -> pa.RecordBatch | None:
         key, i, j = rows[0][:3]
         found = []
-        for size in {len(r[6]) for r in rows}:  # texts of one kind of sketch
-            left, right = ([r for r in rows if r[3] == side and len(r[6]) == size] for side in (i, j))
-            if not left or not right:
-                continue
-            keys = np.array([r[6] for r in right], np.int64)
-            texts = [np.frombuffer(r[7], np.uint64) for r in right]
-            counts, roots = np.array([len(t) for t in texts]), np.array([r[5] for r in right], object)
-            for r in left:
-                same = keys == np.array(r[6], np.int64)
-                own = np.frombuffer(r[7], np.uint64)
-                alike = np.minimum(counts, len(own)) >= least * np.maximum(counts, len(own))
-                for k in np.flatnonzero((same.sum(axis=1) >= SHARED) & alike & (roots != r[5])).tolist():
-                    x, y = r[4], right[k][4]
-                    if (i != j or x > y) and keys[k][same[k]].min() == key and similarity(own, texts[k], least) >= least:
-                        found.append((max(x, y), min(x, y)))
+        left, right = ([r for r in rows if r[3] == side] for side in (i, j))
+        if not left or not right:
+            return None
+        bands = LEVELS[1][0]
+        texts = [np.frombuffer(r[7], np.uint64) for r in right]
+        counts, roots = np.array([len(t) for t in texts]), np.array([r[5] for r in right], object)
+        keys = np.zeros((len(right), 2 * bands), np.int64)  # short sketches, then long ones
+        for k, r in enumerate(right):
+            keys[k, _kinds(counts[k], bands)] = r[6]
+        for r in left:
+            own = np.frombuffer(r[7], np.uint64)
+            kinds = _kinds(len(own), bands)
+            same = keys[:, kinds] == np.array(r[6], np.int64)
+            alike = np.minimum(counts, len(own)) >= least * np.maximum(counts, len(own))
+            for k in np.flatnonzero((same.sum(axis=1) >= SHARED) & alike & (roots != r[5])).tolist():
+                x, y = r[4], right[k][4]
+                if (i != j or x > y) and keys[k, kinds][same[k]].min() == key and similarity(own, texts[k], least) >= least:
+                    found.append((max(x, y), min(x, y)))
         if found:
             return pa.RecordBatch.from_arrays([pa.array([f[side] for f in found], pa.binary()) for side in (0, 1)], names=["a", "b"])
         return None
