@@ -87,10 +87,21 @@ def sc23_parse_bars(spark, sf_dir):
     return tables.parse_bars(lines, "NATION_3").select("ticker", "trading_date", F.round("close", 6).alias("close"), "split_factor", "dividend_cash")
 
 
-def sc25_parse_news(spark, sf_dir):
+def _first_line():
+    return F.substring_index("text", "\n", 1)
+
+
+def _after_first_line():
+    return F.substring(F.col("text"), F.length(_first_line()) + 2, F.length("text"))
+
+
+def _news_lines(spark, sf_dir):
     docs = base.read(spark, sf_dir, "documents")
-    lines = docs.select(F.to_json(F.struct(F.col("doc_id").alias("id"), F.substring("text", 1, 60).alias("headline"), F.lit("").alias("summary"), F.col("source").alias("url"), (F.lit(1700000000) + F.col("doc_id")).alias("datetime"), F.concat_ws(",", "lang", "source", "lang").alias("related"))).alias("value"))
-    parsed = tables.parse_news(lines, "finn", F.to_timestamp(F.lit("2023-11-14 22:20:00")))
+    return docs.select(F.to_json(F.struct(F.col("doc_id").alias("id"), _first_line().alias("headline"), F.coalesce(_after_first_line(), F.lit("")).alias("summary"), F.col("source").alias("url"), (F.lit(1700000000) + F.col("doc_id")).alias("datetime"), F.concat_ws(",", "lang", "source", "lang").alias("related"))).alias("value"))
+
+
+def sc25_parse_news(spark, sf_dir):
+    parsed = tables.parse_news(_news_lines(spark, sf_dir), "finn", F.to_timestamp(F.lit("2023-11-14 22:20:00")))
     return parsed.select("news_id", "direct_tickers", "available_at")
 
 
@@ -184,7 +195,7 @@ def f16_registry(spark, sf_dir):
 
 def _articles(spark, sf_dir):
     docs = base.read(spark, sf_dir, "documents").where("text is not null")
-    return docs.select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("headline"), F.substring("text", 1, 600).alias("summary"), F.timestamp_seconds(F.lit(1700000000) + F.col("doc_id") * 600).alias("at"), F.array("source").alias("tickers"), F.array("source").alias("entities"), F.sha2("text", 256).alias("hash"))
+    return docs.select(F.col("doc_id").alias("id"), _first_line().alias("headline"), _after_first_line().alias("summary"), F.timestamp_seconds(F.lit(1700000000) + F.col("doc_id") * 600).alias("at"), F.array("source").alias("tickers"), F.array("source").alias("entities"), F.sha2("text", 256).alias("hash"))
 
 
 def n03_entities(spark, sf_dir):
