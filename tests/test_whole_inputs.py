@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
-from tidemark.plans import store_plane
+from tidemark.operators import models
+from tidemark.plans import base, portfolio_plane, store_plane
 from tidemark.sources import tables
 
 
@@ -20,3 +23,26 @@ def test_articles_hold_whole_texts(spark, tmp_path):
     assert "exact_duplicate" not in {r.relationship for r in store_plane.n05_relationships(spark, tmp_path).collect()}
     parsed = tables.parse_news(store_plane._news_lines(spark, tmp_path), "finn", F.current_timestamp())
     assert parsed.select("content_hash").distinct().count() == 4
+
+
+def test_backtests_run_over_all_sessions(spark, small):
+    got = portfolio_plane._runs(spark, small).where("record = 'snapshot'").groupBy("run_id").agg(F.countDistinct("session").alias("n"), F.max("session").alias("last")).collect()
+    n, last = base.calendar(spark, small).agg(F.count(F.lit(1)), F.max("session")).first()
+    assert len(got) == 2 and {(r.n, r.last) for r in got} == {(n, last)}
+
+
+def test_models_walk_the_whole_table(spark, small, monkeypatch):
+    called = {}
+    monkeypatch.setattr(models, "walk_forward", lambda rows, periods, *a, walk=models.walk_forward: called.setdefault("walk", (list(periods), walk(rows, [], *a)))[1])
+    monkeypatch.setattr(store_plane.metrics, "daily_correlation", lambda found, *a, **b: found)
+    monkeypatch.setattr(store_plane.metrics, "ic_summary", lambda found: found)
+    store_plane.m04_ridge_walk_forward(spark, small)
+    periods = [p.sequence for p in called["walk"][0]]
+    assert periods == list(range(1, base.calendar(spark, small).select(F.year("session")).distinct().count() + 1))
+    train, test = store_plane._tree_rows(spark, small)
+    last = store_plane._model_rows(spark, small).where("target_return_5d is not null").agg(F.max("decision_date")).first()[0]
+    assert test.agg(F.max("decision_date")).first()[0] == last
+    assert train.agg(F.max("target_end_date_5d")).first()[0] < date(1999, 1, 1) <= test.agg(F.min("decision_date")).first()[0]
+    monkeypatch.setattr(models, "forest", lambda train, label, **a: called.setdefault("forest", models.ridge(train, label, 1.0)))
+    store_plane.m07_forest(spark, small)
+    assert "forest" in called

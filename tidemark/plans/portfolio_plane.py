@@ -108,21 +108,21 @@ def b14_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = _features(spark, sf_dir).where("decision_date < date '1996-07-01'")
+    features = _features(spark, sf_dir)
     day = F.dayofmonth("decision_date") == 1
     plans = [("equal_weight", allocation.equal_weight(features)), ("momentum_top", allocation.momentum_top(features).drop("rank", "momentum_20d"))]
     targets = None
     for name, plan in plans:
         part = plan.where(day).select(F.lit(name).alias("run_id"), "decision_date", "ticker", "weight")
         targets = part if targets is None else targets.unionByName(part)
-    calendar = base.calendar(spark, sf_dir).where("session < date '1996-07-01'").select("session")
-    bars = base.bars(spark, sf_dir).where("trading_date < date '1996-07-01'")
+    calendar = base.calendar(spark, sf_dir).select("session")
+    bars = base.bars(spark, sf_dir)
     every = bars.select("ticker").distinct().crossJoin(F.broadcast(calendar.withColumnRenamed("session", "trading_date")))
     filled = every.join(bars, ["ticker", "trading_date"], "left")
     known = Window.partitionBy("ticker").orderBy("trading_date").rowsBetween(Window.unboundedPreceding, 0)
     filled = filled.withColumns({"close": F.last("close", ignorenulls=True).over(known), "open": F.coalesce("open", F.last("close", ignorenulls=True).over(known))})
     runs = targets.select("run_id").distinct()
-    actions = base.actions(spark, sf_dir).where("effective_date < date '1996-07-01'")
+    actions = base.actions(spark, sf_dir)
     return backtest.run_all(backtest.inputs(runs, calendar, filled, actions, targets))
 
 

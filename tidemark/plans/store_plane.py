@@ -243,7 +243,7 @@ INPUTS = ["momentum_5d", "momentum_10d", "momentum_20d", "gap_open", "intraday_r
 def m04_ridge_walk_forward(spark, sf_dir):
     """Annual refits of a ridge, purged, with each period's rank correlation (M2, M4, M11)."""
     rows = _model_rows(spark, sf_dir)
-    periods = targets.walkforward_schedule(base.calendar(spark, sf_dir), "annual").where("sequence > 3").orderBy("sequence").limit(2).collect()
+    periods = targets.walkforward_schedule(base.calendar(spark, sf_dir), "annual").orderBy("sequence").collect()
 
     def fit(train, test):
         prepare = models.Preprocessor(INPUTS).fit(train)
@@ -260,12 +260,22 @@ def m05_logistic(spark, sf_dir):
     return metrics.classification(models.probability(models.logistic(prepare.transform(train), "up", 0.1), prepare.transform(test)), "up", "probability_1")
 
 
-def m07_forest(spark, sf_dir):
+def _tree_rows(spark, sf_dir):
+    """Training and test rows before and from 1999 on, prepared for trees."""
     rows = _model_rows(spark, sf_dir).where("target_return_5d is not null")
-    train, test = rows.where("target_end_date_5d < date '1996-06-01'"), rows.where("decision_date between date '1996-06-01' and date '1996-12-31'")
+    train, test = rows.where("target_end_date_5d < date '1999-01-01'"), rows.where("decision_date >= date '1999-01-01'")
     prepare = models.Preprocessor(INPUTS, scale=False).fit(train)
-    found = models.boosted(prepare.transform(train), "target_return_5d", rounds=5).transform(prepare.transform(test))
-    return metrics.regression_errors(found, "target_return_5d", "prediction")
+    return prepare.transform(train), prepare.transform(test)
+
+
+def m07_forest(spark, sf_dir):
+    train, test = _tree_rows(spark, sf_dir)
+    return metrics.regression_errors(models.forest(train, "target_return_5d").transform(test), "target_return_5d", "prediction")
+
+
+def m07_boosted(spark, sf_dir):
+    train, test = _tree_rows(spark, sf_dir)
+    return metrics.regression_errors(models.boosted(train, "target_return_5d").transform(test), "target_return_5d", "prediction")
 
 
 def m01_baseline(spark, sf_dir):
@@ -324,6 +334,7 @@ QUERIES = {
     "m04_ridge_walk_forward": m04_ridge_walk_forward,
     "m05_logistic": m05_logistic,
     "m07_forest": m07_forest,
+    "m07_boosted": m07_boosted,
     "m01_baseline": m01_baseline,
     "s01_tumbling": s01_tumbling,
     "s02_sessions": s02_sessions,
