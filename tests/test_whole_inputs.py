@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import models
+from tidemark.operators import models, news
 from tidemark.plans import base, portfolio_plane, store_plane
 from tidemark.sources import tables
 
@@ -46,3 +46,12 @@ def test_models_walk_the_whole_table(spark, small, monkeypatch):
     monkeypatch.setattr(models, "forest", lambda train, label, **a: called.setdefault("forest", models.ridge(train, label, 1.0)))
     store_plane.m07_forest(spark, small)
     assert "forest" in called
+
+
+def test_long_aliases_are_found(spark):
+    name = "The Very Long Name Of Acme Company"
+    registry = spark.createDataFrame([("e", name, "s", "T", ["two words"], date(2000, 1, 1), None, datetime(2000, 1, 2))], "entity_id string, corporate_name string, security_id string, ticker string, aliases array<string>, effective_from date, effective_to date, known_at timestamp")
+    rows = [(1, f"today {name} grew", "", datetime(2024, 1, 1), []), (2, "two words", "", datetime(2024, 1, 1), [])]
+    articles = spark.createDataFrame(rows, "id bigint, headline string, summary string, at timestamp, tickers array<string>")
+    got = {(r.id, r.matched, r.status) for r in news.resolved(articles, registry, F.lit(datetime(2030, 1, 1))).collect()}
+    assert got == {(1, name, "resolved"), (2, "two words", "resolved")}

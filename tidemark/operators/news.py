@@ -99,7 +99,7 @@ def resolved(articles: DataFrame, registry: DataFrame, cutoff: Column) -> DataFr
     """(id, evidence, matched, status, entity_id, security_id): registry rows that a ticker, an explicit symbol or an alias names.
 
     The registry is a small dimension: it is joined by equality on the matched text, aliases after
-    their words are cut from the article as runs of the alias's length.
+    their words are cut from the article as runs of the aliases' lengths.
     """
     day = F.to_date("at")
     symbols = F.regexp_extract_all(F.concat_ws(" ", "headline", "summary"), F.lit(r"\$([A-Z][A-Z0-9.]{0,5})\b"))
@@ -108,9 +108,11 @@ def resolved(articles: DataFrame, registry: DataFrame, cutoff: Column) -> DataFr
     explicit = articles.select("id", "at", F.lit("explicit_ticker").alias("evidence"), F.explode(F.array_distinct(F.concat(symbols, exchange))).alias("matched"))
     named = registry.select(F.explode(F.array_union(F.array("corporate_name"), "aliases")).alias("alias")).distinct().select("alias", C.words(F.col("alias")).alias("w"))
     named = named.select("alias", F.concat_ws(" ", "w").alias("run"), F.size("w").alias("n"))
-    longest = 4
+    named = named.where("n > 0")
+    lengths = sorted(r.n for r in named.select("n").distinct().collect()) or [1]
     runs = articles.select("id", "at", C.words(F.concat_ws(" ", "headline", "summary")).alias("w"))
-    grams = F.flatten(F.array(*[F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - k, F.lit(0))), lambda i, k=k: F.concat_ws(" ", F.slice("w", i + 1, k))) for k in range(1, longest + 1)]))
+    cut = lambda k: F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - k, F.lit(0))), lambda i: F.concat_ws(" ", F.slice("w", i + 1, k)))
+    grams = F.flatten(F.array(*[cut(k) for k in lengths]))
     aliases = runs.select("id", "at", F.explode(F.array_distinct(grams)).alias("run")).join(named, "run").select("id", "at", F.lit("corporate_alias").alias("evidence"), F.col("alias").alias("matched"))
     found = tickers.unionByName(explicit).unionByName(aliases)
     entries = registry.select("entity_id", "security_id", "effective_from", "effective_to", "known_at", F.explode(F.array_union(F.array("ticker", "corporate_name"), "aliases")).alias("matched"))
