@@ -7,6 +7,7 @@ import random
 import re
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -15,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, compression_langid, decontaminate, html_layout, masked_lm, ordinal_toxicity, token_attribution
+from tidemark.llm import byte_bpe, compression_langid, decontaminate, html_layout, masked_lm, oracles, ordinal_toxicity, token_attribution
 from tidemark.llm.fm_index import FMIndex, suffix_array
 
 RANKS = Path(public_tokenizers.path("byte_bpe_50k.tiktoken")).read_bytes()
@@ -116,6 +117,21 @@ def test_cutting_leaks_and_empty_tables(spark, odd):
     assert decontaminate.digest(decontaminate.find(odd, bench.limit(0))).where("contaminated").isEmpty()
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 70])
+def test_leaks_of_items_without_id(spark, block_bytes):
+    items = [(None, "a b c d"), (1, "x y"), (None, "x y"), (2, None)]
+    texts = ["q a b c d q", "x y z", "a b c", None]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar); create table benchmark (item_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
+    con.executemany("insert into benchmark values (?, ?)", items)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.digest(decontaminate.find(docs, bench, block_bytes=block_bytes))
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    assert sorted(tuple(r) for r in got.select(*names).collect()) == sorted(con.sql(f"select {', '.join(names)} from ({oracles.decontamination()})").fetchall())
+
+
 def test_language_held_out_accuracy(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     fold = compression_langid.fold("doc_id")

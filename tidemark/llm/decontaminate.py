@@ -16,7 +16,8 @@ first. With one block the documents are passed once. With more they are passed o
 block, and the spans of a text are united by the text's hash.
 
 Rows: null text and text without words give zero counts and no items. Repeated documents give
-repeated rows. Items with null text have no window; items may repeat. Empty tables work. Only the
+repeated rows. Items with null text have no window; items may repeat. Items
+with null id are searched too and count as one item, null. Empty tables work. Only the
 id and text columns are read, so extra or clashing columns don't matter.
 """
 
@@ -51,7 +52,7 @@ class Phrases:
 
     def __init__(self, items: list[tuple[str, str | None]], window: int):
         self.number: dict[bytes, int] = {}
-        self.items = sorted({i for i, _ in items})
+        self.items = sorted({i for i, _ in items}, key=lambda i: (i is None, i or ""))
         place = {item: k for k, item in enumerate(self.items)}
         owners: dict[tuple[int, ...], set[int]] = {}
         for item, text in items:
@@ -162,7 +163,7 @@ _MERGE = """aggregate(spans, cast(array() as array<struct<first:bigint,last:bigi
 
 def _split(benchmark, item_column, item_text, most):
     """Functions that fetch one block each, so that the driver holds one at a time."""
-    items = benchmark.select(F.col(item_column).cast("string").alias("item"), F.col(item_text).alias("body")).where("item is not null and body is not null")
+    items = benchmark.select(F.col(item_column).cast("string").alias("item"), F.col(item_text).alias("body")).where("body is not null")
     total = items.agg(F.sum(F.octet_length("body") + 64)).first()[0] or 0
     blocks = 1 if total <= most else -(-2 * total // most)
 
