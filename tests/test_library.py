@@ -2,23 +2,46 @@
 
 from __future__ import annotations
 
+import math
+import random
+from collections import Counter
 from datetime import datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import columns as C
 from tidemark.functions import text
 from tidemark.operators import allocation, extraction, metrics, news
 from tidemark.operators.news import complete_link
 from tidemark.sources import tables
 
 
-def test_links_and_words():
-    assert text.link("HTTPS://Ex.com/a?b=2&utm_source=x&a=1#f") == "https://ex.com/a?a=1&b=2"
-    assert text.link("ftp://x/y") is None and text.link(None) is None
-    assert text.words("Ａpple isn't STRASSE ß") == ["apple", "isn", "t", "strasse", "ss"]
-    assert text.cosine(["a", "b"], ["a", "b"]) == pytest.approx(1.0) and text.cosine([], ["a"]) == 0.0
-    assert text.longest_run("a b c d".split(), "x b c y".split()) == 2
+def bag_cosine(a, b):
+    x, y = (Counter([*t, *zip(t, t[1:], strict=False)]) for t in (a, b))
+    size = math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+    return sum(x[k] * y[k] for k in x) / size if size else 0.0
+
+
+def test_links_and_words(spark):
+    urls = ["HTTPS://Ex.com/a?b=2&utm_source=x&a=1#f", "ftp://x/y", None, "http://x?q=&r=a%20b", "http://X/p?z=%zz&GCLID=1", "http:///a", ""]
+    rows = spark.createDataFrame(list(enumerate(urls)), "id int, url string").select("id", C.link(F.col("url")).alias("link")).collect()
+    assert [r.link for r in sorted(rows)] == ["https://ex.com/a?a=1&b=2", None, None, "http://x?r=a+b", "http://x/p?z=%25zz", None, None]
+    texts = ["Ａpple isn't STRASSE ß", "plain_1 Text", None, ""]
+    found = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", C.words(F.col("t")).alias("w")).collect()
+    assert [r.w for r in sorted(found)] == [["apple", "isn", "t", "strasse", "ss"], ["plain_1", "text"], [], []]
+
+
+def test_bags_and_runs():
+    rnd = random.Random(6)
+    a, b = ([[rnd.choice("abc") for _ in range(rnd.randint(0, 8))] for _ in range(60)] for _ in range(2))
+    a, b = [None, *a], [["a"], *b]
+    assert text.cosine(pd.Series(a), pd.Series(b)).tolist() == pytest.approx([bag_cosine(x or [], y) for x, y in zip(a, b, strict=True)])
+    longest = [max([0, *(n for n in range(1, 9) if {tuple(x[k : k + n]) for k in range(len(x) - n + 1)} & {tuple(y[k : k + n]) for k in range(len(y) - n + 1)})]) for x, y in ((x or [], y) for x, y in zip(a, b, strict=True))]
+    assert text.longest_run(pd.Series(a), pd.Series(b)).tolist() == longest
+    assert text.cosine(pd.Series([], dtype=object), pd.Series([], dtype=object)).empty
+    assert text.repeats_a_key(pd.Series(['{"a": 1, "a": 2}', '{"a": {"b": 1}}', "{", None])).tolist() == [True, False, None, None]
     with pytest.raises(ValueError):
         text.strict_json('{"a": 1, "a": 2}')
 

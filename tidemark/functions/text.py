@@ -1,42 +1,86 @@
-"""Text functions that SQL lacks: Unicode words, canonical links, canonical JSON, cosine of bags."""
+"""Text work that SQL lacks, over whole Arrow batches: folding, bag similarity, common runs, canonical JSON."""
 
 from __future__ import annotations
 
 import hashlib
 import json
-import math
-import re
-import unicodedata
-from collections import Counter
-from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 
+import numpy as np
 import pandas as pd
 
 
-def words(text: str | None) -> list[str]:
-    """Whole Unicode words after NFKC and case folding."""
-    return re.findall(r"\w+", unicodedata.normalize("NFKC", text or "").casefold())
-
-
-def link(url: str | None) -> str | None:
-    """An http link without fragment and tracking keys, its query sorted; null for others."""
-    parts = urlsplit(url or "")
-    if parts.scheme not in ("http", "https") or not parts.netloc:
-        return None
-    kept = sorted(p for p in parse_qsl(parts.query) if not p[0].casefold().startswith("utm_") and p[0].casefold() not in ("fbclid", "gclid"))
-    return urlunsplit((parts.scheme.lower(), parts.netloc.lower(), parts.path, urlencode(kept), ""))
-
-
-def cosine(a: list[str], b: list[str]) -> float:
-    """Cosine of the counts of words and word pairs."""
-    x, y = (Counter([*t, *map(" ".join, zip(t, t[1:], strict=False))]) for t in (list(a), list(b)))
-    size = math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
-    return sum(n * y[k] for k, n in x.items()) / size if size else 0.0
+def folded(texts: pd.Series) -> pd.Series:
+    """NFKC-normalised and case-folded texts; null stays null."""
+    return texts.str.normalize("NFKC").str.casefold()
+
+
+def _numbered(a: pd.Series, b: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word numbers of both columns' lists, all rows after another, with the row of each word; null lists are empty."""
+    lists = [[x if x is not None else [] for x in side] for side in (a, b)]
+    flat = [np.concatenate([np.asarray(x, object) for x in side] or [np.empty(0, object)]) for side in lists]
+    rows = [np.repeat(np.arange(len(side)), [len(x) for x in side]) for side in lists]
+    numbers = pd.factorize(np.concatenate(flat))[0] if len(flat[0]) + len(flat[1]) else np.empty(0, np.int64)
+    return numbers[: len(flat[0])], rows[0], numbers[len(flat[0]) :], rows[1]
+
+
+def _bag(numbers: np.ndarray, rows: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct (row, word or pair of words) keys and how often each occurs."""
+    same = rows[1:] == rows[:-1]
+    pairs = (numbers[:-1] + 1) * (kinds + 1) + numbers[1:] + 1  # words are 1 to kinds, pairs lie above
+    keys = np.stack([np.concatenate([rows, rows[1:][same]]), np.concatenate([numbers + 1, pairs[same]])])
+    found, count = np.unique(keys, axis=1, return_counts=True)
+    return found, count
+
+
+def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Cosine of the counts of words and of neighbouring word pairs, row by row; 0 where one side is empty."""
+    x, x_rows, y, y_rows = _numbered(a, b)
+    kinds = int(max(x.max(initial=0), y.max(initial=0))) + 1
+    (x_keys, x_count), (y_keys, y_count) = _bag(x, x_rows, kinds), _bag(y, y_rows, kinds)
+    n = len(a)
+    size = [np.bincount(keys[0], weights=count.astype(float) ** 2, minlength=n) for keys, count in ((x_keys, x_count), (y_keys, y_count))]
+    both, number = np.unique(np.concatenate([x_keys, y_keys], axis=1), axis=1, return_inverse=True)
+    number, m = number.ravel(), both.shape[1]
+    product = np.bincount(number[: len(x_count)], weights=x_count, minlength=m) * np.bincount(number[len(x_count) :], weights=y_count, minlength=m)
+    dot, norm = np.bincount(both[0], weights=product, minlength=n), np.sqrt(size[0] * size[1])
+    return pd.Series(np.divide(dot, norm, out=np.zeros(n), where=norm > 0))
+
+
+def longest_run(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Length of the longest run of words that both lists have: a binary search over lengths, for all rows at once."""
+    x, x_rows, y, y_rows = _numbered(a, b)
+    n = len(a)
+    most = np.minimum(np.bincount(x_rows, minlength=n), np.bincount(y_rows, minlength=n)) if n else np.empty(0, np.int64)
+    low, high = np.zeros(n, np.int64), most.astype(np.int64)
+    while (low < high).any():
+        middle = (low + high + 1) // 2
+        shared = np.zeros(n, bool)
+        for size in np.unique(middle[low < high]).tolist():
+            chosen = (low < high) & (middle == size)
+            runs = [_runs(side, rows, size, chosen) for side, rows in ((x, x_rows), (y, y_rows))]
+            shared[np.array(sorted(runs[0] & runs[1]), object).reshape(-1, 1 + size)[:, 0].astype(np.int64)] = True
+        low, high = np.where(shared, middle, low), np.where(shared, high, middle - 1)
+    return pd.Series(low.astype(np.int32))
+
+
+def _runs(numbers: np.ndarray, rows: np.ndarray, size: int, chosen: np.ndarray) -> set[tuple[int, ...]]:
+    """(row, words) of all runs of size words in the chosen rows."""
+    if len(numbers) < size:
+        return set()
+    own = np.lib.stride_tricks.sliding_window_view(numbers, size)
+    inside = (rows[: len(own)] == rows[size - 1 :]) & chosen[rows[: len(own)]]
+    return set(map(tuple, np.column_stack([rows[: len(own)][inside], own[inside]]).tolist()))
+
+
+def fingerprint(value, ascii_only: bool = False) -> str:
+    """sha256 of JSON with sorted keys and no spaces."""
+    raw = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=ascii_only, allow_nan=False, default=str)
+    return hashlib.sha256(raw.encode()).hexdigest()
 
 
-def fingerprint(value) -> str:
-    """sha256 of JSON with sorted keys and no spaces."""
-    return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False, default=str).encode()).hexdigest()
+def fingerprints(rows: pd.Series) -> pd.Series:
+    """fingerprint of each JSON text; null stays null."""
+    return rows.map(lambda x: fingerprint(json.loads(x)), na_action="ignore")
 
 
 def strict_json(text: str):
@@ -50,34 +94,16 @@ def strict_json(text: str):
     return json.loads(text, object_pairs_hook=unique)
 
 
-def longest_run(a: list[str], b: list[str]) -> int:
-    """Length of the longest common run of words."""
-    best, before = 0, {}
-    for x in a:
-        now = {}
-        for j, y in enumerate(b):
-            if x == y:
-                now[j] = before.get(j - 1, 0) + 1
-                best = max(best, now[j])
-        before = now
-    return best
-
-
-def words_series(texts: pd.Series) -> pd.Series:
-    return texts.map(words)
-
-
-def link_series(urls: pd.Series) -> pd.Series:
-    return urls.map(link)
-
-
-def cosine_series(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([cosine(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
-
-
-def longest_run_series(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([longest_run(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="int32")
+def repeats_a_key(rows: pd.Series) -> pd.Series:
+    """Whether each JSON text has an object with a repeated key; null for what is no JSON."""
 
+    def one(text: str):
+        try:
+            strict_json(text)
+        except json.JSONDecodeError:
+            return None
+        except ValueError:
+            return True
+        return False
 
-def fingerprint_series(rows: pd.Series) -> pd.Series:
-    return rows.map(lambda x: fingerprint(json.loads(x)))
+    return rows.map(one, na_action="ignore")

@@ -70,13 +70,13 @@ def activation(df: DataFrame, date_column: str, calendar: DataFrame) -> DataFram
     of later points, in one sort of a ticker's rows and the sessions.
     """
     days = calendar.select("session", "seq", decision_time("session").alias("cutoff"))
-    df = _first_not_before(df, F.col(date_column), days, F.col("session"), "_by_date")
-    df = _first_not_before(df, F.col("available_at"), days, F.col("cutoff"), "_by_cutoff")
+    df = first_not_before(df, F.col(date_column), days, F.col("session"), "_by_date")
+    df = first_not_before(df, F.col("available_at"), days, F.col("cutoff"), "_by_cutoff")
     known = F.col("available_at").isNotNull() & F.col("_by_date").isNotNull() & F.col("_by_cutoff").isNotNull()
     return df.withColumn("active_seq", F.when(known, F.greatest("_by_date", "_by_cutoff"))).drop("_by_date", "_by_cutoff")
 
 
-def _first_not_before(df: DataFrame, value: Column, days: DataFrame, point: Column, name: str) -> DataFrame:
+def first_not_before(df: DataFrame, value: Column, days: DataFrame, point: Column, name: str) -> DataFrame:
     """df with the seq of the first day whose point is >= value."""
     tickers = df.select("ticker").distinct()
     points = tickers.crossJoin(F.broadcast(days)).select("ticker", F.unix_micros(point.cast("timestamp")).alias("_at"), F.col("seq").alias("_seq"), F.lit(False).alias("_row"))

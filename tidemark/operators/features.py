@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.recurrences import SMOOTHED, smoothed
+from tidemark.operators.recurrences import RANKED, SMOOTHED, ranked, smoothed, smoothed_and_ranked
 from tidemark.operators.windows import by_time, change, full, per_series, rolling_beta, rolling_correlation
 
 YEAR = 252
-#: Features without which a row can't be used by a model.
+#: Features without which a row can't be used by a model (fixed values).
 ESSENTIAL = (
     "return_60d", "momentum_120d", "volatility_60d", "rsi_14", "atr_pct", "distance_ma200",
     "volume_ratio_20d", "max_drawdown_60d", "spy_return_20d", "correlation_spy_20d", "beta_20d",
@@ -92,18 +92,6 @@ def year_range(w) -> dict[str, Column]:
     return {"distance_52w_high": F.try_divide(F.col("close"), full(F.max, F.col("close"), YEAR, w)) - 1, "distance_52w_low": F.try_divide(F.col("close"), full(F.min, F.col("close"), YEAR, w)) - 1}
 
 
-def percentiles(w) -> dict[str, Column]:
-    """Place of today's value in its trailing year, ties at their middle. Needs volatility_20d."""
-
-    def of(x: Column) -> Column:
-        frame = w.rowsBetween(-(YEAR - 1), 0)
-        held = F.collect_list(x).over(frame)
-        less, equal = F.size(F.filter(held, lambda v: v < x)), F.size(F.filter(held, lambda v: v == x))
-        return F.when(F.count(x).over(frame) == YEAR, (less + (equal - 1) / 2) / (YEAR - 1))
-
-    return {"percentile_price_252d": of(F.col("close")), "percentile_volume_252d": of(F.col("volume")), "percentile_volatility_252d": of(F.col("volatility_20d"))}
-
-
 def against_market(w) -> dict[str, Column]:
     """Needs market_close (the benchmark's close on the row's date)."""
     m = F.col("market_close")
@@ -122,6 +110,11 @@ def add_smoothed(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return per_series(df, keys or ["ticker"], SMOOTHED, smoothed)
 
 
+def add_percentiles(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Place of today's value in its trailing year, ties at their middle. Needs volatility_20d."""
+    return per_series(df, keys or ["ticker"], RANKED, ranked)
+
+
 def all_features(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """df with every feature; market_close is needed. keys tell the series apart (ticker, or ticker and segment)."""
     w = window(keys)
@@ -129,8 +122,7 @@ def all_features(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
         df = df.withColumns(group(w))
     for group in (volatility, downside_volatility, average_true_range, co_movement):
         df = df.withColumns(group(w))
-    df = df.withColumns(percentiles(w))
-    return add_smoothed(df, keys)
+    return per_series(df, keys or ["ticker"], SMOOTHED | RANKED, smoothed_and_ranked)
 
 
 def eligibility(df: DataFrame) -> DataFrame:

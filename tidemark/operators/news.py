@@ -68,8 +68,11 @@ def blocked_pairs(articles: DataFrame, keys: list[Column], max_hours: int = MAX_
 
 
 def classified(pairs: DataFrame, articles: DataFrame) -> DataFrame:
-    """pairs with similarities and relationship; articles as prepared() gives them, with entities (array)."""
-    names = ["at", "head", "full", "kinds", "numbers", "actions", "objects", "core", "roundup", "entities"]
+    """pairs with similarities and relationship; articles as prepared() gives them.
+
+    They need entities and tickers (arrays) and event_date (null where unknown).
+    """
+    names = ["at", "head", "full", "kinds", "numbers", "actions", "objects", "core", "roundup", "entities", "tickers", "event_date"]
     a = articles.select(F.col("id").alias("left_id"), *[F.col(n).alias(f"a_{n}") for n in names])
     b = articles.select(F.col("id").alias("right_id"), *[F.col(n).alias(f"b_{n}") for n in names])
     df = pairs.join(a, "left_id").join(b, "right_id")
@@ -81,6 +84,8 @@ def classified(pairs: DataFrame, articles: DataFrame) -> DataFrame:
         | (both("numbers") & (F.col("a_numbers") != F.col("b_numbers")))
         | (F.col("a_actions") != F.col("b_actions"))
         | (both("objects") & (F.col("a_objects") != F.col("b_objects")))
+        | F.coalesce(F.col("a_event_date") != F.col("b_event_date"), F.lit(False))
+        | (both("tickers") & ~F.arrays_overlap("a_tickers", "b_tickers") & ~common)
     )
     alike = F.col("headline_similarity") >= HEADLINE
     relation = (
@@ -92,6 +97,56 @@ def classified(pairs: DataFrame, articles: DataFrame) -> DataFrame:
         .when(~F.col("a_roundup") & ~F.col("b_roundup") & common & F.arrays_overlap("a_kinds", "b_kinds") & (F.col("similarity") >= EVENT) & alike, "shared_event")
         .otherwise("different")
     )
+    refused = (F.col("hours_apart") > MAX_HOURS) | conflict | (F.least(F.size("a_full"), F.size("b_full")) < LEAST_WORDS)
+    return df.select("left_id", "right_id", "similarity", "headline_similarity", "hours_apart", relation.alias("relationship"), (~refused).alias("open_to_evidence"))
+
+
+# Words that tell states apart, and the editorial rewrites of headlines.
+STATES = (
+    "increase", "increases", "increased", "decrease", "decreases", "decreased", "approve", "approves", "reject", "rejects", "announce", "announces",
+    "complete", "completes", "rumor", "rumour", "confirmed", "confirmation", "raised", "lowered", "denied", "no", "without",
+)
+SPACING = ((r"\biphone(?=\d+\b)", "iphone "),)
+REWRITES = (*SPACING, (r"\bsluggish\s+demand\b", "soft demand"), (r"\s*[-\u2013\u2014]\s*nikkei\s*$", ""))
+
+
+def _rewritten(column: Column, rules) -> Column:
+    out = C.folded(column)
+    for pattern, text in rules:
+        out = F.regexp_replace(out, pattern, text)
+    return out
+
+
+def prepared_editorial(articles: DataFrame) -> DataFrame:
+    """prepared() with what the second version of the rules compares: spaced product numbers, states, canonical headlines."""
+    spaced = C.words(_rewritten(F.concat_ws(" ", "headline", F.coalesce("summary", F.lit(""))), SPACING))
+    out = prepared(articles).withColumn("_spaced", spaced)
+    found = anchors(F.col("_spaced"))
+    canonical = C.words(_rewritten(F.col("headline"), REWRITES))
+    return out.withColumns({
+        "spaced_numbers": found["numbers"], "spaced_actions": found["actions"],
+        "states": F.array_sort(F.array_intersect(F.array_distinct("_spaced"), _listed(STATES))),
+        "canonical": canonical,
+    }).withColumns({
+        "canonical_core": F.filter("canonical", lambda w: ~w.isin(*FILLERS)),
+        "rewritten": F.col("canonical") != F.col("head"),
+    }).drop("_spaced")
+
+
+def classified_editorial(pairs: DataFrame, articles: DataFrame) -> DataFrame:
+    """classified() by the second version: other figures or states make a pair different, and equal canonical headlines an editorial duplicate."""
+    first = classified(pairs, articles)
+    names = ["spaced_numbers", "spaced_actions", "states", "canonical_core", "rewritten", "roundup", "entities", "full", "tickers"]
+    a = articles.select(F.col("id").alias("left_id"), *[F.col(n).alias(f"a_{n}") for n in names])
+    b = articles.select(F.col("id").alias("right_id"), *[F.col(n).alias(f"b_{n}") for n in names])
+    df = first.join(a, "left_id").join(b, "right_id")
+    other = (F.col("a_spaced_numbers") != F.col("b_spaced_numbers")) | (F.col("a_spaced_actions") != F.col("b_spaced_actions")) | (F.col("a_states") != F.col("b_states"))
+    route = (
+        (F.col("a_rewritten") | F.col("b_rewritten"))
+        & ~F.col("a_roundup") & ~F.col("b_roundup") & F.arrays_overlap("a_entities", "b_entities")
+        & (F.col("a_canonical_core") == F.col("b_canonical_core")) & (F.size("a_canonical_core") >= LEAST_WORDS)
+    )
+    relation = F.when(other, "different").when((F.col("relationship") == "different") & F.col("open_to_evidence") & route, "editorial_duplicate").otherwise(F.col("relationship"))
     return df.select("left_id", "right_id", "similarity", "headline_similarity", "hours_apart", relation.alias("relationship"))
 
 
@@ -139,7 +194,14 @@ def complete_link(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(m, g[0], len(g)) for g in groups for m in g], columns=["id", "representative", "members"])
 
 
-def groups(articles: DataFrame, pairs: DataFrame, accepted: list[str], id_type: str = "bigint", rounds: int = 12) -> DataFrame:
+def cluster_ids(grouped: DataFrame, version: str, id_type: str = "bigint") -> DataFrame:
+    """(cluster_id, representative, members array): groups by the hash of the version and the sorted members."""
+    listed = grouped.groupBy("representative").agg(F.array_sort(F.collect_list("id")).alias("members"))
+    joined = F.array_join(F.transform("members", lambda m: m.cast("string")), "|")
+    return listed.select(F.sha2(F.concat_ws("|", F.lit(version), joined), 256).alias("cluster_id"), "representative", "members")
+
+
+def groups(articles: DataFrame, pairs: DataFrame, accepted: list[str], id_type: str = "bigint") -> DataFrame:
     """(id, representative, members): complete-link groups over accepted pairs, articles ordered by (at, id).
 
     Connected components only bound what one task needs; they are found by spreading least ids
@@ -148,7 +210,7 @@ def groups(articles: DataFrame, pairs: DataFrame, accepted: list[str], id_type:
     good = pairs.where(F.col("relationship").isin(*accepted)).select("left_id", "right_id")
     edges = good.unionByName(good.select(F.col("right_id").alias("left_id"), F.col("left_id").alias("right_id"))).distinct()
     labels = articles.select("id", F.col("id").alias("root"))
-    for _ in range(rounds):
+    while True:
         least = edges.join(labels, F.col("right_id") == F.col("id")).groupBy("left_id").agg(F.min("root").alias("low"))
         stepped = labels.join(least, F.col("id") == F.col("left_id"), "left").select("id", F.least("root", F.coalesce("low", "root")).alias("root"), F.col("root").alias("was"))
         jump = stepped.select(F.col("id").alias("root"), F.col("root").alias("far"))
@@ -156,8 +218,6 @@ def groups(articles: DataFrame, pairs: DataFrame, accepted: list[str], id_type:
         labels = after.select("id", "root")
         if after.where("root <> was").isEmpty():
             break
-    else:
-        raise ValueError("a component is longer than the rounds allow")
     near = edges.groupBy(F.col("left_id").alias("id")).agg(F.collect_set("right_id").alias("matches"))
     rows = labels.join(articles.select("id", "at"), "id").join(near, "id", "left")
     lone = rows.where("matches is null").select("id", F.col("id").alias("representative"), F.lit(1).alias("members"))

@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.asof import first_not_before
 from tidemark.operators.windows import percentile_rank
 
 HORIZONS = (5, 10, 20)
@@ -16,37 +17,29 @@ def price_targets(adjusted: DataFrame, calendar: DataFrame, events: DataFrame |
     """Returns h calendar sessions ahead; a missing bar on that session gives null, never the next bar.
 
     adjusted: ticker, trading_date, split_adjusted_close. events: ticker, event_date, training_exclusion.
+    All horizons come from one sort by session number: the price at seq + h is a RANGE frame of that
+    one number, and an excluded event contaminates a label if it falls on sessions seq + 1 to seq + h.
     """
-    days = calendar.select("session", "seq")
-    out = adjusted.select("ticker", F.col("trading_date").alias("decision_date"), F.col("split_adjusted_close").alias("_price"))
-    out = out.join(days.withColumnRenamed("session", "decision_date"), "decision_date", "left")
+    ends = Window.orderBy("seq")  # the calendar, a small dimension
+    days = calendar.select("session", "seq", *[F.lead("session", h).over(ends).alias(f"target_end_date_{h}d") for h in horizons])
+    rows = adjusted.select("ticker", F.col("trading_date").alias("decision_date"), F.col("split_adjusted_close").alias("_price"))
+    rows = rows.join(days.withColumnRenamed("session", "decision_date"), "decision_date", "left").withColumn("_event", F.lit(0))
+    if events is not None:
+        marked = events.where("training_exclusion").select("ticker", "event_date").distinct()
+        placed = first_not_before(marked, F.col("event_date"), calendar, F.col("session"), "seq").where("seq is not null")
+        rows = rows.unionByName(placed.select("ticker", "seq", F.lit(1).alias("_event")), allowMissingColumns=True)
+    ahead = Window.partitionBy("ticker").orderBy("seq")
+    known, out = F.col("seq").isNotNull(), rows
     for h in horizons:
-        ends = days.select((F.col("seq") - h).alias("seq"), F.col("session").alias(f"target_end_date_{h}d"))
-        future = adjusted.select("ticker", F.col("trading_date").alias(f"target_end_date_{h}d"), F.col("split_adjusted_close").alias(f"_future_{h}"))
-        out = out.join(ends, "seq", "left").join(future, ["ticker", f"target_end_date_{h}d"], "left")
-        value = F.try_divide(F.col(f"_future_{h}"), F.col("_price")) - 1
-        out = out.withColumn(f"target_return_{h}d", value).withColumn(f"target_positive_{h}d", (value > 0).cast("int")).drop(f"_future_{h}")
-    out = out.drop("_price", "seq")
+        future = F.when(known, F.max("_price").over(ahead.rangeBetween(h, h)))
+        hit = F.when(known & F.col(f"target_end_date_{h}d").isNotNull(), F.max("_event").over(ahead.rangeBetween(1, h)) == 1)
+        value = F.try_divide(future, F.col("_price")) - 1
+        out = out.withColumns({f"target_return_{h}d": value, f"target_corporate_action_contaminated_{h}d": F.coalesce(hit, F.lit(False))})
+    out = out.where("_event = 0")
     for h in horizons:
-        name = f"target_corporate_action_contaminated_{h}d"
-        out = _contaminated(out, events, f"target_end_date_{h}d", name) if events is not None else out.withColumn(name, F.lit(False))
-        out = out.withColumn(f"target_{h}d_training_eligible", F.col(f"target_return_{h}d").isNotNull() & ~F.col(name))
-    return out
-
-
-def _contaminated(df: DataFrame, events: DataFrame, end: str, name: str) -> DataFrame:
-    """Whether an excluded event of the ticker falls in (decision_date, end]: its count up to both ends differs.
-
-    Counted by one running sum over rows and events together, so no inequality join is needed.
-    """
-    excluded = events.where("training_exclusion").select("ticker", F.col("event_date").alias("_day")).distinct()
-    marks = excluded.select("ticker", "_day", F.lit(1).alias("_e"), F.lit(None).cast("date").alias("_row"), F.lit(0).alias("_side"))
-    points = df.select("ticker", F.col("decision_date").alias("_day"), F.lit(0).alias("_e"), F.col("decision_date").alias("_row"), F.lit(1).alias("_side"))
-    stops = df.where(F.col(end).isNotNull()).select("ticker", F.col(end).alias("_day"), F.lit(0).alias("_e"), F.col("decision_date").alias("_row"), F.lit(2).alias("_side"))
-    running = F.sum("_e").over(Window.partitionBy("ticker").orderBy(F.unix_date("_day")).rangeBetween(Window.unboundedPreceding, 0))
-    counted = marks.unionByName(points).unionByName(stops).withColumn("_n", running).where("_side > 0")
-    sides = counted.groupBy("ticker", F.col("_row").alias("decision_date")).agg(F.max(F.when(F.col("_side") == 1, F.col("_n"))).alias("_from"), F.max(F.when(F.col("_side") == 2, F.col("_n"))).alias("_to"))
-    return df.join(sides, ["ticker", "decision_date"], "left").withColumn(name, F.coalesce(F.col("_to") > F.col("_from"), F.lit(False))).drop("_from", "_to")
+        value, bad = F.col(f"target_return_{h}d"), F.col(f"target_corporate_action_contaminated_{h}d")
+        out = out.withColumns({f"target_positive_{h}d": (value > 0).cast("int"), f"target_{h}d_training_eligible": value.isNotNull() & ~bad})
+    return out.drop("_price", "seq", "_event")
 
 
 def cross_sectional_rank(targets: DataFrame, least: int = 20, horizons=HORIZONS) -> DataFrame:
@@ -122,6 +115,16 @@ def walkforward_schedule(calendar: DataFrame, frequency: str) -> DataFrame:
     return periods.select(F.row_number().over(Window.orderBy("period")).alias("sequence"), "prediction_start", "prediction_end", "sessions")
 
 
+def schedule_faults(schedule: DataFrame, calendar: DataFrame) -> DataFrame:
+    """One row: sessions, those that periods cover, overlaps, and periods whose edges are no sessions of theirs."""
+    edges = schedule.select(F.explode(F.array("prediction_start", "prediction_end")).alias("session"))
+    listed = edges.join(calendar.select("session", "seq"), "session", "left")
+    order = Window.orderBy("prediction_start")  # a schedule is a few rows
+    pairs = schedule.withColumn("_next", F.lead("prediction_start").over(order)).agg(F.count_if(F.col("_next") <= F.col("prediction_end")).alias("overlaps"), F.sum("sessions").alias("covered"))
+    stray = listed.agg(F.count_if(F.col("seq").isNull()).alias("edges_outside"))
+    return calendar.agg(F.count(F.lit(1)).alias("sessions")).crossJoin(F.broadcast(pairs)).crossJoin(F.broadcast(stray))  # one row each
+
+
 def training_window(rows: DataFrame, start: Column, nominal_end: Column, prediction_start: Column, end_column: str) -> DataFrame:
     """Rows to fit on: dated in [start, nominal_end] with labels that end before the first prediction."""
     return rows.where(F.col("decision_date").between(start, nominal_end) & (F.col(end_column) < prediction_start))

@@ -48,6 +48,12 @@ def p06_feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("ticker", "trading_date", "history_count", "has_252d_history", "model_eligible", *[F.round(c, 6).alias(c) for c in feature.ESSENTIAL])
 
 
+def w15_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = feature.window()
+    df = _bars(spark, sf_dir).withColumns(feature.returns(w)).withColumns(feature.volatility(w))
+    return _out(feature.add_percentiles(df.select("ticker", "trading_date", "close", "volume", "volatility_20d")), list(feature.RANKED))
+
+
 def f07_history_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _bars(spark, sf_dir).withColumn("history_count", F.count(F.lit(1)).over(Window.partitionBy("ticker").orderBy("trading_date")))
     return df.select("ticker", "trading_date", "history_count", *[(F.col("history_count") >= n).alias(f"has_{n}d_history") for n in (20, 60, 120, 252)])
@@ -71,7 +77,7 @@ QUERIES = {
     "w09_w11_volumes": _query(feature.volumes, digits=4),
     "w12_drawdowns": _query(feature.drawdowns),
     "w14_year_range": _query(feature.year_range),
-    "w15_percentiles": _query(feature.returns, feature.volatility, feature.percentiles),
+    "w15_percentiles": w15_percentiles,
     "w16_j04_against_market": _query(feature.against_market, market=True),
     "w17_w18_co_movement": _query(feature.returns, feature.against_market, feature.co_movement, market=True),
     "w26_discontinuity": w26_discontinuity,

@@ -76,7 +76,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_detect_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.count_if("training_exclusion").alias("excluded"), F.min("confidence").alias("confidence"), F.max("event_date").alias("last_date"))
+    return _events(spark, sf_dir)
 
 
 def _excluded(spark: SparkSession, sf_dir: str) -> DataFrame:

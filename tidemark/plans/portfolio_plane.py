@@ -102,9 +102,10 @@ def b03_buy_and_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def b14_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shares = base.bars(spark, sf_dir).withColumn("weight", F.round(F.col("volume") / F.sum("volume").over(_W("trading_date")), 9))
+    # whole billionths, so that every engine sums the same weights
+    shares = base.bars(spark, sf_dir).withColumn("weight", F.expr("(cast(volume as bigint) * 1000000000) div cast(sum(volume) over (partition by trading_date) as bigint)") / 1e9)
     checked = allocation.risk_check(shares.select(F.col("trading_date").alias("decision_date"), "ticker", "weight"))
-    return checked.groupBy("decision_date").agg(F.first("action").alias("action"), F.round(F.sum("approved"), 6).alias("exposure"))
+    return checked.groupBy("decision_date").agg(F.max("action").alias("action"), F.round(F.sum("approved"), 9).alias("exposure"))
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,5 +190,5 @@ ORACLES = {
     "t02_momentum_top10": base.sql("select decision_date, ticker, cast(n as integer) as rank, round(momentum_20d, 6) as momentum_20d, 0.1 as weight from (select *, row_number() over (partition by decision_date order by momentum_20d desc, ticker) as n from features where ok and momentum_20d is not null) where n <= 10", _F),
     "b01_equal_weight": base.sql("select session as decision_date, count(f.ticker) as assets, round(1 - case when count(f.ticker) > 0 then 1.0 else 0.0 end, 6) as cash_weight from calendar left join (select * from features where ok) f on f.decision_date = session group by 1", _F),
     "b03_buy_and_hold": base.sql("select min(session) as decision_date from calendar union select distinct effective_date from actions join calendar on session = effective_date where action_type like '%dividend'"),
-    "b14_risk": base.sql("select decision_date, case when count(*) > 15 then 'BLOCK' when max(w) > 0.1 then case when round(sum(least(w, 0.1)), 9) > 1 then 'BLOCK' else 'REDUCE' end when round(sum(w), 9) > 1 then 'BLOCK' else 'APPROVE' end as action, round(case when count(*) <= 15 and round(sum(least(w, 0.1)), 9) <= 1 then sum(least(w, 0.1)) end, 6) as exposure from (select trading_date as decision_date, ticker, round(volume / sum(volume) over (partition by trading_date), 9) as w from bars) group by 1"),
+    "b14_risk": base.sql("select decision_date, case when count(*) > 15 then 'BLOCK' when max(w) > 0.1 then case when round(sum(least(w, 0.1)), 9) > 1 then 'BLOCK' else 'REDUCE' end when round(sum(w), 9) > 1 then 'BLOCK' else 'APPROVE' end as action, round(case when count(*) <= 15 and round(sum(least(w, 0.1)), 9) <= 1 then sum(least(w, 0.1)) end, 9) as exposure from (select trading_date as decision_date, ticker, (cast(volume as bigint) * 1000000000 // cast(sum(volume) over (partition by trading_date) as bigint)) / 1e9 as w from bars) group by 1"),
 }

@@ -10,6 +10,7 @@ from tidemark.functions import columns as C
 from tidemark.operators import extraction, features, metrics, models, news, quality, targets
 from tidemark.operators.asof import effective_entries, split_adjusted
 from tidemark.plans import base
+from tidemark.session import shared_dir, written
 from tidemark.sources import tables
 from tidemark.streaming import late_data
 
@@ -102,7 +103,7 @@ def _news_lines(spark, sf_dir):
 
 def sc25_parse_news(spark, sf_dir):
     parsed = tables.parse_news(_news_lines(spark, sf_dir), "finn", F.to_timestamp(F.lit("2023-11-14 22:20:00")))
-    return parsed.select("news_id", "direct_tickers", "available_at")
+    return parsed.select("news_id", F.array_join("direct_tickers", ",").alias("direct_tickers"), "available_at")
 
 
 def sc29_symbols(spark, sf_dir):
@@ -115,7 +116,10 @@ def q01_duplicates(spark, sf_dir):
 
 
 def q02_violations(spark, sf_dir):
-    return quality.price_violations(base.bars(spark, sf_dir)).select("ticker", "trading_date")
+    """Violations in bars of which every seventh day of a month has been spoilt."""
+    spoilt = F.dayofmonth("trading_date") == 7
+    bars = base.bars(spark, sf_dir).withColumns({"high": F.when(spoilt, F.col("low") / 2).otherwise(F.col("high")), "volume": F.when(F.dayofmonth("trading_date") == 8, -F.col("volume")).otherwise(F.col("volume"))})
+    return quality.price_violations(bars).select("ticker", "trading_date")
 
 
 def w25_gaps(spark, sf_dir):
@@ -138,7 +142,7 @@ def _moves(spark, sf_dir):
 
 
 def q06_outliers(spark, sf_dir):
-    return quality.outliers(_moves(spark, sf_dir)).groupBy("rule").agg(F.count(F.lit(1)).alias("rows"), F.max(F.abs("value")).alias("largest"))
+    return quality.outliers(_moves(spark, sf_dir))
 
 
 def a12_health(spark, sf_dir):
@@ -195,11 +199,11 @@ def f16_registry(spark, sf_dir):
 
 def _articles(spark, sf_dir):
     docs = base.read(spark, sf_dir, "documents").where("text is not null")
-    return docs.select(F.col("doc_id").alias("id"), _first_line().alias("headline"), _after_first_line().alias("summary"), F.timestamp_seconds(F.lit(1700000000) + F.col("doc_id") * 600).alias("at"), F.array("source").alias("tickers"), F.array("source").alias("entities"), F.sha2("text", 256).alias("hash"))
+    return docs.select(F.col("doc_id").alias("id"), _first_line().alias("headline"), _after_first_line().alias("summary"), F.timestamp_seconds(F.lit(1700000000) + F.col("doc_id") * 600).alias("at"), F.array("source").alias("tickers"), F.array("source").alias("entities"), F.when(F.col("doc_id") % 7 == 0, F.to_date(F.timestamp_seconds(F.lit(1700000000) + F.col("doc_id") * 600))).alias("event_date"), F.sha2("text", 256).alias("hash"))
 
 
 def n03_entities(spark, sf_dir):
-    return news.resolved(_articles(spark, sf_dir), _registry(spark), F.to_timestamp(F.lit("2030-01-01 00:00:00"))).groupBy("evidence", "status").agg(F.count(F.lit(1)).alias("links"))
+    return news.resolved(_articles(spark, sf_dir), _registry(spark), F.to_timestamp(F.lit("2030-01-01 00:00:00")))
 
 
 def j10_n04_pairs(spark, sf_dir):
@@ -212,14 +216,11 @@ def _classified(spark, sf_dir):
 
 
 def n05_relationships(spark, sf_dir):
-    return _classified(spark, sf_dir).groupBy("relationship").agg(F.count(F.lit(1)).alias("pairs"))
+    return _classified(spark, sf_dir).select("left_id", "right_id", "relationship")
 
 
 def n08_groups(spark, sf_dir):
-    if not spark.sparkContext.getCheckpointDir():
-        from tempfile import mkdtemp
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or mkdtemp(prefix="tidemark-"))
+    shared_dir(spark)  # for the checkpoints of the rounds
     return news.groups(_articles(spark, sf_dir), _classified(spark, sf_dir), ["exact_duplicate", "editorial_duplicate"])
 
 
@@ -355,7 +356,7 @@ ORACLES = {
     "sc23_parse_bars": base.sql("select ticker, trading_date, round(close, 6) as close, 1.0 as split_factor, 0.0 as dividend_cash from bars where ticker = 'NATION_3'"),
     "sc29_symbols": "select n_name as ticker, case n_name when 'NATION_1' then 'N.1' when 'NATION_2' then 'N.2' else n_name end as provider_symbol from nation",
     "q01_duplicates": "select l_orderkey, l_linenumber, count(*) as rows from lineitem group by 1, 2 having count(*) > 1",
-    "q02_violations": base.sql("select ticker, trading_date from bars where high < greatest(open, close, low) or low > least(open, close, high) or least(open, high, low, close) <= 0 or volume < 0"),
+    "q02_violations": base.sql("select ticker, trading_date from bars where dayofmonth(trading_date) in (7, 8) or high < greatest(open, close, low) or low > least(open, close, high) or least(open, high, low, close) <= 0"),
     "w25_gaps": base.sql("select s.ticker, session from (select ticker, min(trading_date) as a, max(trading_date) as b from bars group by 1) s join calendar on session between a and b left join bars x on x.ticker = s.ticker and x.trading_date = session where x.ticker is null"),
     "a11_diagnostics": base.sql("select ticker, count(*) as bars, min(trading_date) as first_date, max(trading_date) as last_date, count(case when high < low then 1 end) as inverted, count(case when volume <= 0 then 1 end) as without_volume from bars group by 1"),
     "a10_coverage": base.sql("select min(n) as least, median(n) as median, avg(n) as mean, max(n) as most from (select session, count(distinct ticker) as n from calendar left join bars on trading_date = session and volume > 30 group by 1)"),
