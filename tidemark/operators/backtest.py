@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.simulation import INPUT, OUTPUT, Config, simulate
+from tidemark.operators.simulation import FIELDS, INPUT, OUTPUT, Config, simulate
 
 
 def _shaped(df: DataFrame, kind: str, run: Column, **columns) -> DataFrame:
@@ -33,7 +34,28 @@ def inputs(runs: DataFrame, calendar: DataFrame, bars: DataFrame, actions: DataF
     return out
 
 
-def run_all(rows: DataFrame, config: Config | None = None) -> DataFrame:
-    """Records (orders, executions, cash flows, snapshots) of all runs, each run in one task."""
+def run_all(rows: DataFrame, config: Config | None = None, isolate: bool = False) -> DataFrame:
+    """Records (orders, executions, cash flows, snapshots) of all runs, each run in one task.
+
+    isolate: a run whose input can't be simulated gives one failure record instead of failing all.
+    """
     config = config or Config()
-    return rows.groupBy("run_id").applyInPandas(lambda pdf: simulate(pdf, config), OUTPUT)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return simulate(pdf, config)
+        except ValueError as error:
+            if not isolate:
+                raise
+            failed = {"run_id": pdf["run_id"].iloc[0], "record": "failure", "status": type(error).__name__, "reason": str(error)}
+            return pd.DataFrame([failed], columns=FIELDS).astype(object).where(lambda x: x.notna(), None)
+
+    return rows.groupBy("run_id").applyInPandas(run, OUTPUT)
+
+
+def benchmark_report(performance: DataFrame, benchmark: str) -> DataFrame:
+    """Each run's performance with its excess over the benchmark's; runs over other sessions are an error."""
+    own = performance.where(F.col("run_id") == benchmark).select(F.col("cumulative_return").alias("_r"), F.col("cagr").alias("_c"), F.col("observations").alias("_n"))
+    rows = performance.where(F.col("run_id") != benchmark).crossJoin(F.broadcast(own))  # one row
+    same = F.when(F.col("observations") == F.col("_n"), F.col("observations")).otherwise(F.raise_error(F.lit("benchmark and run cover other sessions")))
+    return rows.withColumns({"observations": same, "excess_cumulative_return": F.col("cumulative_return") - F.col("_r"), "excess_cagr": F.col("cagr") - F.col("_c")}).drop("_r", "_c", "_n")

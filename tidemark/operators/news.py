@@ -42,7 +42,9 @@ def anchors(words: Column) -> dict[str, Column]:
 
 
 def prepared(articles: DataFrame) -> DataFrame:
-    """articles (id, headline, summary, at, ...) with words and anchors."""
+    """articles (id, headline, summary, at, ...) with words and anchors; without tickers or event_date none is known."""
+    unknown = {"tickers": F.array().cast("array<string>"), "event_date": F.lit(None).cast("date")}
+    articles = articles.withColumns({n: x for n, x in unknown.items() if n not in articles.columns})
     out = articles.withColumns({"head": C.words(F.col("headline")), "full": C.words(F.concat_ws(" ", "headline", F.coalesce("summary", F.lit(""))))})
     return out.withColumns(anchors(F.col("full"))).withColumns({
         "objects": F.array_sort(F.array_intersect("full", _listed(OBJECTS))),

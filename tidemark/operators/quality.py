@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -64,6 +64,15 @@ def ranking_coverage(ranked: DataFrame, rank: str, day: str = "decision_date") -
     return counts.withColumn("reason", F.when(F.col("ranked") == 0, "too_few_eligible"))
 
 
+def rare_first(df: DataFrame, rare: Column, order: list, n: int, least: int) -> DataFrame:
+    """A deterministic sample of n: up to least rows of the rare pool first, then the rest of both by order."""
+    marked = df.withColumn("_rare", F.coalesce(rare, F.lit(False)))
+    keys = [*order, "doc_id"]
+    picked = marked.where("_rare").orderBy(*keys).limit(least).withColumn("_turn", F.lit(0))
+    rest = marked.join(picked.select("doc_id"), "doc_id", "left_anti").withColumn("_turn", F.lit(1))
+    return picked.unionByName(rest).orderBy("_turn", *keys).limit(n).drop("_rare", "_turn")
+
+
 def round_robin(df: DataFrame, bucket: str, order: list, n: int) -> DataFrame:
     """A deterministic sample: the first of every bucket, then the second of every bucket, and so on."""
     ranked = df.withColumn("_turn", F.row_number().over(Window.partitionBy(bucket).orderBy(*order)))

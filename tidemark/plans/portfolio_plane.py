@@ -108,7 +108,8 @@ def b14_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.groupBy("decision_date").agg(F.max("action").alias("action"), F.round(F.sum("approved"), 9).alias("exposure"))
 
 
-def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _inputs(spark: SparkSession, sf_dir: str, benchmark: str | None = None) -> DataFrame:
+    """Simulation rows of both strategies, and of a name that is held as the benchmark."""
     features = _features(spark, sf_dir)
     day = F.dayofmonth("decision_date") == 1
     plans = [("equal_weight", allocation.equal_weight(features)), ("momentum_top", allocation.momentum_top(features).drop("rank", "momentum_20d"))]
@@ -116,6 +117,10 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, plan in plans:
         part = plan.where(day).select(F.lit(name).alias("run_id"), "decision_date", "ticker", "weight")
         targets = part if targets is None else targets.unionByName(part)
+    if benchmark:
+        own = base.bars(spark, sf_dir).where(F.col("ticker") == benchmark).select(F.col("trading_date").alias("session"))
+        days = allocation.buy_and_hold_days(own, base.actions(spark, sf_dir).where(F.col("ticker") == benchmark))
+        targets = targets.unionByName(days.select(F.lit("benchmark").alias("run_id"), "decision_date", F.lit(benchmark).alias("ticker"), F.lit(1.0).alias("weight")))
     calendar = base.calendar(spark, sf_dir).select("session")
     bars = base.bars(spark, sf_dir)
     every = bars.select("ticker").distinct().crossJoin(F.broadcast(calendar.withColumnRenamed("session", "trading_date")))
@@ -124,7 +129,11 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     filled = filled.withColumns({"close": F.last("close", ignorenulls=True).over(known), "open": F.coalesce("open", F.last("close", ignorenulls=True).over(known))})
     runs = targets.select("run_id").distinct()
     actions = base.actions(spark, sf_dir)
-    return backtest.run_all(backtest.inputs(runs, calendar, filled, actions, targets))
+    return backtest.inputs(runs, calendar, filled, actions, targets)
+
+
+def _runs(spark: SparkSession, sf_dir: str, benchmark: str | None = None) -> DataFrame:
+    return backtest.run_all(_inputs(spark, sf_dir, benchmark))
 
 
 def b04_b13_backtests(spark: SparkSession, sf_dir: str) -> DataFrame:

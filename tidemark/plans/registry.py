@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Plan modules; each has QUERIES (name -> function) and ORACLES (name -> SQL).
-MODULES: list[str] = ["feature_plane", "pit_plane", "portfolio_plane", "store_plane", "relational_plane", "records_plane", "sql_plane"]
+MODULES: list[str] = ["feature_plane", "pit_plane", "portfolio_plane", "store_plane", "relational_plane", "records_plane", "sql_plane", "build_plane"]
 
 
 def _merged(attribute: str) -> dict:

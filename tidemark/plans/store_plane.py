@@ -241,19 +241,6 @@ def _model_rows(spark, sf_dir):
 INPUTS = ["momentum_5d", "momentum_10d", "momentum_20d", "gap_open", "intraday_return"]
 
 
-def m04_ridge_walk_forward(spark, sf_dir):
-    """Annual refits of a ridge, purged, with each period's rank correlation (M2, M4, M11)."""
-    rows = _model_rows(spark, sf_dir)
-    periods = targets.walkforward_schedule(base.calendar(spark, sf_dir), "annual").orderBy("sequence").collect()
-
-    def fit(train, test):
-        prepare = models.Preprocessor(INPUTS).fit(train)
-        return models.ridge(prepare.transform(train), "target_return_5d", 1.0).transform(prepare.transform(test)).select("ticker", "decision_date", "target_return_5d", "prediction")
-
-    found = models.walk_forward(rows, periods, "target_return_5d", "target_end_date_5d", fit)
-    return metrics.ic_summary(metrics.daily_correlation(found, "target_return_5d", "prediction", method="spearman"))
-
-
 def m05_logistic(spark, sf_dir):
     rows = _model_rows(spark, sf_dir).where("target_return_5d is not null").withColumn("up", (F.col("target_return_5d") > 0).cast("double"))
     train, test = rows.where("target_end_date_5d < date '1999-01-01'"), rows.where("decision_date >= date '1999-01-01'")
@@ -332,7 +319,6 @@ QUERIES = {
     "n05_relationships": n05_relationships,
     "n08_groups": n08_groups,
     "x08_jaccard": x08_jaccard,
-    "m04_ridge_walk_forward": m04_ridge_walk_forward,
     "m05_logistic": m05_logistic,
     "m07_forest": m07_forest,
     "m07_boosted": m07_boosted,
