@@ -24,12 +24,11 @@ def _numbered(a: pd.Series, b: pd.Series) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def _bag(numbers: np.ndarray, rows: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct (row, word or pair of words) keys and how often each occurs."""
+    """Sorted distinct keys of (row, word or pair of words), and how often each occurs. A row's keys fill (kinds + 1)^2 numbers."""
     same = rows[1:] == rows[:-1]
     pairs = (numbers[:-1] + 1) * (kinds + 1) + numbers[1:] + 1  # words are 1 to kinds, pairs lie above
-    keys = np.stack([np.concatenate([rows, rows[1:][same]]), np.concatenate([numbers + 1, pairs[same]])])
-    found, count = np.unique(keys, axis=1, return_counts=True)
-    return found, count
+    base = rows * (kinds + 1) ** 2
+    return np.unique(np.concatenate([base + numbers + 1, (base[1:] + pairs)[same]]), return_counts=True)
 
 
 def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -38,11 +37,11 @@ def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
     kinds = int(max(x.max(initial=0), y.max(initial=0))) + 1
     (x_keys, x_count), (y_keys, y_count) = _bag(x, x_rows, kinds), _bag(y, y_rows, kinds)
     n = len(a)
-    size = [np.bincount(keys[0], weights=count.astype(float) ** 2, minlength=n) for keys, count in ((x_keys, x_count), (y_keys, y_count))]
-    both, number = np.unique(np.concatenate([x_keys, y_keys], axis=1), axis=1, return_inverse=True)
-    number, m = number.ravel(), both.shape[1]
-    product = np.bincount(number[: len(x_count)], weights=x_count, minlength=m) * np.bincount(number[len(x_count) :], weights=y_count, minlength=m)
-    dot, norm = np.bincount(both[0], weights=product, minlength=n), np.sqrt(size[0] * size[1])
+    span = (kinds + 1) ** 2
+    size = [np.bincount(keys // span, weights=count.astype(float) ** 2, minlength=n) for keys, count in ((x_keys, x_count), (y_keys, y_count))]
+    both, at_x, at_y = np.intersect1d(x_keys, y_keys, assume_unique=True, return_indices=True)
+    dot = np.bincount(both // span, weights=x_count[at_x].astype(float) * y_count[at_y], minlength=n)
+    norm = np.sqrt(size[0] * size[1])
     return pd.Series(np.divide(dot, norm, out=np.zeros(n), where=norm > 0))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.operators.asof import effective_entries
+from tidemark.session import written
 
 MAX_HOURS = 48
 LEAST_WORDS = 6
@@ -210,7 +211,7 @@ def groups(articles: DataFrame, pairs: DataFrame, accepted: list[str], id_type:
     with pointer jumping and cut off from their lineage by a checkpoint in each round.
     """
     good = pairs.where(F.col("relationship").isin(*accepted)).select("left_id", "right_id")
-    edges = good.unionByName(good.select(F.col("right_id").alias("left_id"), F.col("left_id").alias("right_id"))).distinct()
+    edges = written(good.unionByName(good.select(F.col("right_id").alias("left_id"), F.col("left_id").alias("right_id"))).distinct(), "edges")
     labels = articles.select("id", F.col("id").alias("root"))
     while True:
         least = edges.join(labels, F.col("right_id") == F.col("id")).groupBy("left_id").agg(F.min("root").alias("low"))

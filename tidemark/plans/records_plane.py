@@ -228,10 +228,10 @@ def n06_editorial_rules(spark, sf_dir):
 
 
 def n09_snapshot_clusters(spark, sf_dir):
-    """Groups of exact duplicates as clusters with content ids."""
+    """Groups of exact duplicates, and lone articles, as clusters with content ids."""
     shared_dir(spark)
     grouped = news.groups(store_plane._articles(spark, sf_dir), store_plane._classified(spark, sf_dir), ["exact_duplicate"])
-    return news.cluster_ids(grouped, "groups-1").where("size(members) > 1").select("cluster_id", "representative", F.size("members").alias("members"))
+    return news.cluster_ids(grouped, "groups-1").select("cluster_id", "representative", F.size("members").alias("members"))
 
 
 def n10_evaluation(spark, sf_dir):
