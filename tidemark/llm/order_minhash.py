@@ -1,28 +1,29 @@
 """Near-duplicate classes by Order MinHash.
 
-A text's k-mers are its five-word shingles (lowered words between white space; fewer than five words
-make one shingle), each labelled with its occurrence number. A sketch takes the several least-hashed
+A text's words are its lowered runs between white space, its k-mers five-word shingles (fewer than
+five words make one), each labelled with its occurrence number. A sketch takes the KMERS least-hashed
 labelled k-mers under one hash function and keeps them in text order; two texts share a sketch the
-likelier the smaller their edit distance. A level's bands of sketches make the blocking keys: of the
-level's long size in k-mers, or of its short size for texts of up to SHORT k-mers (between both
-bounds, of both sizes). Two texts at the similarity threshold share no key with a probability under
-1 in 10,000.
+likelier the smaller their edit distance. BANDS sketches make a text's blocking keys.
 
-Candidates are verified by banded alignment: M is the longest common subsequence of both k-mer
-sequences within the diagonals that a similar pair can use (a bit-parallel dynamic programme over a
-sliding window), and the similarity is M / (|A| + |B| - M): Jaccard similarity that counts order
-and repetition. Links join pairs of SIMILARITY or more; classes are connected components.
+Candidates are verified by banded alignment of the words: M is the longest common subsequence of
+both word sequences within the diagonals that a similar pair can use (a bit-parallel dynamic
+programme over a sliding window), and the similarity is M / (|A| + |B| - M): Jaccard similarity that
+counts order and repetition. Links join pairs of SIMILARITY or more; classes are their components.
+At that similarity random edits leave two texts 0.38 of their k-mers or more; such a pair shares no
+key with a chance of 0.7 %, at 0.5 of the k-mers of 0.01 %.
 
 Identical texts are one node throughout. In a bucket of texts with a common key each is first
-compared with the bucket's least node; components follow. Where a bucket of up to SMALL texts still
-has several components, their texts are compared pair by pair. The texts of larger ones, such as a
-crowd that shares a passage but is not alike, are sketched again at the second level, with more
-k-mers to a key and more keys. Their new buckets get stars and components too; where one is still
-split, its texts are compared in tiles of bounded size: those of different components with at least
-SHARED equal keys of sketches that both have (a pair at the threshold has about 9 at 22 k-mers, 13 at 45) are verified there, each pair in the bucket
-of its least common key only, and just the links leave the task. So no bucket is expanded into pairs
-of texts that are known to be in one class, no task holds an unbounded bucket, and no text is
-dropped.
+compared with the bucket's hub, the text that shares the most keys with others; components follow.
+Buckets that still hold several components, such as a crowd that shares a passage but is not alike,
+are compared in tiles of bounded size: a tile holds signatures only (SIGNATURE least hashes of the
+occurrence-labelled words, a byte each), and pairs of different components are near if both lengths
+allow the similarity and EQUAL of the hashes agree. The Jaccard similarity of labelled words is an
+upper bound of the aligned one; a pair at 0.8 has fewer with a chance under 0.1 %. Each component's
+nearest pairs in a tile are aligned first, and what components remain then over all their near
+pairs, each in the bucket of its least common key. So no bucket is expanded into pairs of texts that
+are known to be in one class or are far from alike, no task holds an unbounded bucket, and no text
+is dropped. The comparisons of signatures in a crowd grow with the square of its distinct texts,
+spread over its tiles.
 
 Rows: null text is in a class of its own (its doc_id). Texts without a word are only alike when
 identical. The class id is the least doc_id of the class, or null if all are null. Repeated rows
@@ -44,24 +45,21 @@ from tidemark.llm.components import connected_components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: (bands, k-mers of a short text's sketch, k-mers of a long text's sketch) of each level
-LEVELS = ((32, 2, 5), (160, 4, 10))
-#: Texts of fewer k-mers than SHORT_ONLY_BELOW have short sketches only, texts of more than SHORT long ones only.
-SHORT_ONLY_BELOW = 16
-SHORT = 20
-#: Texts of a bucket that are compared pair by pair.
-SMALL = 4
-#: Keys of the second level that a pair of a crowded bucket must share.
-SHARED = 3
+#: Sketches of a text, and k-mers of each.
+BANDS, KMERS = 32, 2
+#: Least hashes in a signature, and how many must agree before two texts of a crowd are aligned.
+SIGNATURE, EQUAL = 256, 184
+#: Pairs of a component and tile that are aligned before all others.
+NEAREST = 4
 #: Texts of a tile's side.
-TILE = 256
+TILE = 2048
 #: Words whose hashes a worker remembers.
 REMEMBERED = 150_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _rng = np.random.default_rng(20240229)
 _STEP = _rng.integers(1, 2**63, SHINGLE, dtype=np.uint64) | np.uint64(1)
-_SCALE = [_rng.integers(1, 2**32, bands, dtype=np.uint32) | np.uint32(1) for bands, _, _ in LEVELS]
-_SHIFT = [_rng.integers(0, 2**32, bands, dtype=np.uint32) for bands, _, _ in LEVELS]
+_SCALE = _rng.integers(1, 2**32, SIGNATURE, dtype=np.uint32) | np.uint32(1)
+_SHIFT = _rng.integers(0, 2**32, SIGNATURE, dtype=np.uint32)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -79,17 +77,21 @@ class _Words(dict):
 _WORDS = _Words()
 
 
-def shingles(text: str) -> np.ndarray:
-    """Hashes of the text's k-mers in order."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
+def word_hashes(text: str) -> np.ndarray:
+    """Hashes of the text's words in order."""
     if len(_WORDS) > REMEMBERED:
         _WORDS.clear()
-    hashes = np.array([_WORDS[w] for w in words], np.uint64)
-    if len(words) < SHINGLE:
-        return _mix(np.array([np.bitwise_xor.reduce(_mix(hashes * _STEP[: len(words)])) + np.uint64(len(words))]))
-    n = len(words) - SHINGLE + 1
+    return np.array([_WORDS[w] for w in text.lower().split()], np.uint64)
+
+
+def shingles(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of the k-mers of a sequence of word hashes, in order."""
+    size = len(hashes)
+    if not size:
+        return hashes
+    if size < SHINGLE:
+        return _mix(np.array([np.bitwise_xor.reduce(_mix(hashes * _STEP[:size])) + np.uint64(size)]))
+    n = size - SHINGLE + 1
     out = np.zeros(n, np.uint64)
     for k in range(SHINGLE):
         out += hashes[k : k + n] * _STEP[k]
@@ -110,54 +112,52 @@ def labelled(kmers: np.ndarray) -> np.ndarray:
     return np.where(times > 0, _mix(kmers + times * _M1), kmers)
 
 
-def _least(values: np.ndarray, size: int) -> np.ndarray:
-    """Places of the size least values of each row, in order of place."""
-    rows, n = values.shape
-    if n <= size:
-        return np.broadcast_to(np.arange(n), (rows, n))
-    if n >= 16 * size:
-        row, at = np.nonzero(values < np.uint32(4 * size / n * 2**32))  # about four times as many as needed
-        count = np.bincount(row, minlength=rows)
-        if count.min() >= size:
-            by = np.lexsort((values[row, at], row))
-            start = np.cumsum(count) - count
-            return np.sort(at[by[start[:, None] + np.arange(size)]], axis=1)
-    return np.sort(np.argpartition(values, size - 1, axis=1)[:, :size], axis=1)
+def _hashed(low: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Rows first to last of the hash functions over 32-bit k-mers."""
+    values = low * _SCALE[first:last, None] + _SHIFT[first:last, None]
+    values ^= values >> np.uint32(15)
+    values *= np.uint32(0x2C1B3C6D)
+    values ^= values >> np.uint32(12)
+    return values
 
 
-def sketch_keys(kmers: np.ndarray, level: int = 0) -> np.ndarray:
-    """The blocking keys of a text's k-mers at a level."""
+def sketch_keys(kmers: np.ndarray) -> np.ndarray:
+    """The blocking keys of a text's k-mers."""
     n = len(kmers)
     if not n:
         return np.empty(0, np.int64)
-    bands, short, long = LEVELS[level]
     own = labelled(kmers)
     low = own.astype(np.uint32)
-    sizes = [short] * (n <= SHORT) + [long] * (n >= SHORT_ONLY_BELOW)
-    parts: list[list[np.ndarray]] = [[] for _ in sizes]
-    step = max(1, (1 << 20) // n)
-    for a in range(0, bands, step):
-        values = low * _SCALE[level][a : a + step, None] + _SHIFT[level][a : a + step, None]
-        values ^= values >> np.uint32(15)
-        values *= np.uint32(0x2C1B3C6D)
-        values ^= values >> np.uint32(12)
-        for k, size in enumerate(sizes):
-            parts[k].append(own[_least(values, size)])
-    keys = []
-    for size, part in zip(sizes, parts, strict=True):
-        chosen = np.concatenate(part)
-        key = np.arange(bands, dtype=np.uint64) + np.uint64(1000 * size)
-        for k in range(chosen.shape[1]):
-            key = _mix(key * _M2 + chosen[:, k])
-        keys.append(key)
-    return np.concatenate(keys).view(np.int64)
+    size, step = min(KMERS, n), max(1, (1 << 18) // n)
+    chosen = []
+    for a in range(0, BANDS, step):
+        values = _hashed(low, a, min(a + step, BANDS))
+        line, places = np.arange(len(values)), np.empty((len(values), size), np.int64)
+        for k in range(size):
+            places[:, k] = values.argmin(axis=1)
+            values[line, places[:, k]] = np.uint32(0xFFFFFFFF)
+        chosen.append(own[np.sort(places, axis=1)])
+    chosen = np.concatenate(chosen)
+    keys = np.arange(BANDS, dtype=np.uint64) + np.uint64(1000 * size)
+    for k in range(size):
+        keys = _mix(keys * _M2 + chosen[:, k])
+    return keys.view(np.int64)
+
+
+def signature(words: np.ndarray) -> bytes:
+    """A byte of the least hash of the occurrence-labelled words under each of SIGNATURE functions."""
+    if not len(words):
+        return bytes(SIGNATURE)
+    low = labelled(words).astype(np.uint32)
+    step = max(1, (1 << 18) // len(low))
+    return b"".join(_hashed(low, a, a + step).min(axis=1).astype(np.uint8).tobytes() for a in range(0, SIGNATURE, step))
 
 
 def aligned(a: list[int], b: list[int], band: int) -> int:
     """Longest common subsequence that stays within band diagonals of the main one."""
-    places: dict[int, list[int]] = {}
+    places: dict[int, int] = {}
     for j, s in enumerate(b):
-        places.setdefault(s, []).append(j)
+        places[s] = places.get(s, 0) | 1 << j
     width = 2 * band + 1
     mask, top = (1 << width) - 1, 1 << (width - 1)
     columns, matched = mask, 0  # a zero bit marks a column that adds one
@@ -166,26 +166,26 @@ def aligned(a: list[int], b: list[int], band: int) -> int:
             if not columns & 1:
                 matched += 1
             columns = columns >> 1 | top
-        found = 0
-        for j in places.get(s, ()):
-            k = j - i + band
-            if 0 <= k < width:
-                found |= 1 << k
+        found = places.get(s, 0)
         if found:
+            found = (found >> (i - band) if i > band else found << (band - i)) & mask
             hit = columns & found
             columns = ((columns + hit) | (columns - hit)) & mask
     return matched + width - columns.bit_count()
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """M / (|A| + |B| - M) by banded alignment, or 0 where it is sure to be under least."""
+    """M / (|A| + |B| - M) by banded alignment of word hashes, or 0 where it is sure to be under least."""
     total = len(a) + len(b)
     need = least / (1 + least) * total
     if not total or min(len(a), len(b)) < need - 1e-9:
         return 0.0
     if a.tobytes() == b.tobytes():
         return 1.0
-    if np.isin(a, b).sum() < need - 1e-9:
+    _, number = np.unique(np.concatenate([a, b]), return_inverse=True)
+    kinds = number.max() + 1
+    common = np.minimum(np.bincount(number[: len(a)], minlength=kinds), np.bincount(number[len(a) :], minlength=kinds))
+    if common.sum() < need - 1e-9:
         return 0.0
     n = min(len(a), len(b))
     same = a[:n] == b[:n]
@@ -208,13 +208,13 @@ def text_node(text: Column) -> Column:
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole):
-            rows = [shingles(t) for t in batch.column(2).to_pylist()]
-            keys = pa.array([sketch_keys(r) for r in rows], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(r) for r in rows], pa.int32()), keys], names=["doc_id", "node", "kmers", "keys"])
+            rows = [word_hashes(t) for t in batch.column(2).to_pylist()]
+            keys = pa.array([sketch_keys(shingles(r)) for r in rows], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(r) for r in rows], pa.int32()), keys], names=["doc_id", "node", "words", "keys"])
 
 
-def _wanted(filter_: np.ndarray, deep: bool):
-    """k-mer sequences of the texts that may be wanted, or their second-level keys."""
+def _wanted(filter_: np.ndarray, made):
+    """(node, value) of the texts that may be wanted; made gives the value of a sequence of word hashes."""
 
     def run(batches):
         for whole in batches:
@@ -222,13 +222,8 @@ def _wanted(filter_: np.ndarray, deep: bool):
                 batch = batch.filter(pa.array(maybe(filter_, batch.column(1).to_numpy(zero_copy_only=False))))
                 if not batch.num_rows:
                     continue
-                rows = [shingles(t) for t in batch.column(2).to_pylist()]
-                if deep:
-                    keys = pa.array([sketch_keys(r, 1) for r in rows], pa.list_(pa.int64()))
-                    sequences = pa.array([r.tobytes() for r in rows], pa.binary())
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) for r in rows], pa.int32()), keys, sequences], names=["node", "kmers", "keys", "sequence"])
-                else:
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], names=["node", "sequence"])
+                values = pa.array([made(word_hashes(t)) for t in batch.column(2).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), values], names=["node", "value"])
 
     return run
 
@@ -251,95 +246,117 @@ def _texts(docs: DataFrame) -> DataFrame:
     return texts.select("node", F.xxhash64("node").alias("k"), "text")
 
 
+def _values(docs: DataFrame, nodes: DataFrame, made, label: str) -> DataFrame:
+    """(node, value) of the nodes, written; nodes is a written table."""
+    wanted = nodes.withColumn("k", F.xxhash64("node"))
+    found = _texts(docs).mapInArrow(_wanted(bloom(wanted, "k"), made), "node binary, value binary")
+    found = found.join(nodes, "node", "left_semi").groupBy("node").agg(F.any_value("value").alias("value"))
+    return materialize(found, label)
+
+
 def _links(docs: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs (a, b) of nodes that are similar, with their similarity; pairs is a written table."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("k", F.xxhash64("node"))
-    found = _texts(docs).mapInArrow(_wanted(bloom(nodes, "k"), False), "node binary, sequence binary")
-    sequences = materialize(found.groupBy("node").agg(F.any_value("sequence").alias("sequence")), "sequences")
-    first = sequences.select(F.col("node").alias("a"), F.col("sequence").alias("x"))
-    second = sequences.select(F.col("node").alias("b"), F.col("sequence").alias("y"))
+    """Those of the pairs (a, b) of nodes that are similar; pairs is a written table."""
+    ends = pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct())
+    nodes = materialize(ends.distinct(), "nodes")
+    sequences = _values(docs, nodes, lambda words: words.tobytes(), "sequences")
+    first = sequences.select(F.col("node").alias("a"), F.col("value").alias("x"))
+    second = sequences.select(F.col("node").alias("b"), F.col("value").alias("y"))
     both = pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y")
     links = both.mapInArrow(_verified(least), "a binary, b binary, similarity double").where(F.col("similarity") >= least)
     links = materialize(links.select("a", "b"), "links")
-    discard(sequences)
+    discard(sequences, nodes)
     return links
 
 
 def _alike(least: float) -> Column:
-    """Whether both counts of k-mers allow the similarity."""
-    return F.least("kmers", "other_kmers") >= F.lit(least) * F.greatest("kmers", "other_kmers")
+    """Whether both counts of words allow the similarity."""
+    return F.least("words", "other_words") >= F.lit(least) * F.greatest("words", "other_words")
 
 
 def _members(nodes: DataFrame) -> DataFrame:
-    """(key, node, kmers) of keys that two nodes or more have; nodes has node, kmers and keys."""
-    members = nodes.select("node", "kmers", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return materialize(members.join(shared, "key"), "members")
+    """(key, node, words, weight) of keys that two nodes or more have; weight counts the texts a node meets."""
+    members = nodes.select("node", "words", F.explode("keys").alias("key"))
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = materialize(members.join(shared, "key"), "met")
+    weights = met.groupBy("node").agg(F.sum("n").alias("weight"))
+    members = materialize(met.join(weights, "node").select("key", "node", "words", "weight"), "members")
+    discard(met)
+    return members
 
 
 def _stars(members: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of each node with the least node of its buckets."""
-    hubs = members.groupBy("key").agg(F.min(F.struct("node", "kmers")).alias("hub")).select("key", F.col("hub.node").alias("b"), F.col("hub.kmers").alias("other_kmers"))
-    return members.join(hubs, "key").where(F.col("node") != F.col("b")).where(_alike(least)).select(F.col("node").alias("a"), "b").distinct()
+    """Pairs (a, b) of each node with the hub of its buckets, a > b."""
+    hubs = members.groupBy("key").agg(F.max(F.struct("weight", "node", "words")).alias("hub")).select("key", F.col("hub.node").alias("hub"), F.col("hub.words").alias("other_words"))
+    met = members.join(hubs, "key").where(F.col("node") != F.col("hub")).where(_alike(least))
+    return met.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
 
 
 def _split(members: DataFrame, roots: DataFrame) -> DataFrame:
     """members of buckets with several components, with their component and the bucket's size n."""
-    placed = members.join(roots, "node", "left").select("key", "node", "kmers", F.coalesce("root", "node").alias("root"))
+    placed = members.join(roots, "node", "left").select("key", "node", "words", F.coalesce("root", "node").alias("root"))
     several = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     return materialize(placed.join(several.select("key", "n"), "key"), "split")
 
 
-def _across(split: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of a bucket's nodes in different components."""
-    other = split.select("key", F.col("node").alias("b"), F.col("kmers").alias("other_kmers"), F.col("root").alias("other_root"))
-    return split.join(other, "key").where("node > b and root <> other_root").where(_alike(least)).select(F.col("node").alias("a"), "b").distinct()
-
-
-def _tiles(split: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) between a split bucket's nodes in different components.
+def _tiles(split: DataFrame, signatures: DataFrame, least: float, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of split buckets' nodes, in different components (a_root, b_root) and near enough to be aligned.
 
     A bucket of n texts is cut into n / TILE blocks; a tile compares two of them, inside one task.
+    nearest: just the NEAREST nearest pairs of each component and tile.
     """
     count = F.ceil(F.col("n") / TILE).cast("int")
     block = F.pmod(F.xxhash64("node"), count).cast("int")
-    rows = split.join(texts.select("node", "keys", "sequence"), "node").withColumn("block", block)
+    keys = split.groupBy("node").agg(F.collect_list("key").alias("keys"))  # as many as sketches at most
+    rows = split.join(signatures, "node").join(keys, "node").withColumn("block", block)
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), count - 1)))
-    rows = rows.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "root", "keys", "sequence")
+    rows = rows.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "root", "words", "value", "keys")
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(_compared(least), "a binary, b binary")
-
+    return dealt.mapInArrow(_compared(least, nearest), "a binary, b binary, a_root binary, b_root binary").distinct()
 
-def _kinds(n: int, bands: int) -> slice:
-    """Where the keys of a text of n k-mers belong among those of short and then long sketches."""
-    return slice(0 if n <= SHORT else bands, 2 * bands if n >= SHORT_ONLY_BELOW else bands)
 
-
-def _compared(least: float):
-    def solve(rows: list[tuple]) -> pa.RecordBatch | None:
+def _compared(least: float, nearest: bool):
+    def solve(rows: list[tuple]) -> list[tuple]:
+        """(equal hashes, a, b, root of a, root of b)"""
         key, i, j = rows[0][:3]
-        found = []
         left, right = ([r for r in rows if r[3] == side] for side in (i, j))
         if not left or not right:
-            return None
-        bands = LEVELS[1][0]
-        texts = [np.frombuffer(r[7], np.uint64) for r in right]
-        counts, roots = np.array([len(t) for t in texts]), np.array([r[5] for r in right], object)
-        keys = np.zeros((len(right), 2 * bands), np.int64)  # short sketches, then long ones
-        for k, r in enumerate(right):
-            keys[k, _kinds(counts[k], bands)] = r[6]
+            return []
+        right.sort(key=lambda r: r[6])
+        signatures = np.frombuffer(b"".join(r[7] for r in right), np.uint8).reshape(len(right), -1)
+        words = np.array([r[6] for r in right])
+        kinds: dict[bytes, int] = {}
+        roots = np.array([kinds.setdefault(r[5], len(kinds)) for r in right])
+        keys = [set(r[8]) for r in right]
+        found = []
         for r in left:
-            own = np.frombuffer(r[7], np.uint64)
-            kinds = _kinds(len(own), bands)
-            same = keys[:, kinds] == np.array(r[6], np.int64)
-            alike = np.minimum(counts, len(own)) >= least * np.maximum(counts, len(own))
-            for k in np.flatnonzero((same.sum(axis=1) >= SHARED) & alike & (roots != r[5])).tolist():
-                x, y = r[4], right[k][4]
-                if (i != j or x > y) and keys[k, kinds][same[k]].min() == key and similarity(own, texts[k], least) >= least:
-                    found.append((max(x, y), min(x, y)))
-        if found:
-            return pa.RecordBatch.from_arrays([pa.array([f[side] for f in found], pa.binary()) for side in (0, 1)], names=["a", "b"])
-        return None
+            low, high = np.searchsorted(words, least * r[6] - 1e-9, "left"), np.searchsorted(words, r[6] / least + 1e-9, "right")
+            other = low + np.flatnonzero(roots[low:high] != kinds.get(r[5], -1))
+            if not len(other):
+                continue
+            equal = (signatures[other] == np.frombuffer(r[7], np.uint8)).sum(axis=1)
+            if nearest:
+                best = np.argsort(-equal, kind="stable")[:NEAREST]
+                chosen = [(n, k) for n, k in zip(equal[best].tolist(), other[best].tolist(), strict=True) if n >= EQUAL]
+            else:
+                near = np.flatnonzero(equal >= EQUAL)
+                own = set(r[8])
+                chosen = [(n, k) for n, k in zip(equal[near].tolist(), other[near].tolist(), strict=True) if (i != j or r[4] > right[k][4]) and min(own & keys[k]) == key]
+            for n, k in chosen:
+                x, y = (r[4], r[5]), (right[k][4], right[k][5])
+                x, y = max(x, y), min(x, y)
+                found.append((n, x[0], y[0], x[1], y[1]))
+        if nearest:
+            kept: dict[bytes, set[tuple]] = {}
+            for pair in sorted(set(found), reverse=True):
+                for root in pair[3:]:
+                    own = kept.setdefault(root, set())
+                    if len(own) < NEAREST:
+                        own.add(pair)
+            found = sorted(set().union(*kept.values()))
+        return found
+
+    def batch_of(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (1, 2, 3, 4)], names=["a", "b", "a_root", "b_root"])
 
     def run(batches):
         held: list[tuple] = []
@@ -347,21 +364,24 @@ def _compared(least: float):
             for batch in slices(whole):
                 for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                     if held and held[-1][:3] != row[:3]:
-                        if len(held) > 1 and (out := solve(held)):
-                            yield out
+                        if len(held) > 1 and (found := solve(held)):
+                            yield batch_of(found)
                         held = []
                     held.append(row)
-        if len(held) > 1 and (out := solve(held)):
-            yield out
+        if len(held) > 1 and (found := solve(held)):
+            yield batch_of(found)
 
     return run
 
 
-def _more(docs: DataFrame, pairs: DataFrame, tested: DataFrame, links: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Verify pairs that weren't tested yet: all tested pairs, all links, and their components."""
-    new = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-    all_links = links.unionByName(_links(docs, new, least))
-    return tested.unionByName(new), all_links, materialize(connected_components(all_links), "roots")
+def _joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """roots (node, root) after edges between roots; a node that isn't in roots is its own root."""
+    moved = materialize(connected_components(edges), "moved")
+    to = moved.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    known = roots.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    joined = materialize(known.unionByName(moved.join(roots, "node", "left_anti")), "roots")
+    discard(moved, roots)
+    return joined
 
 
 def components(docs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -370,22 +390,25 @@ def components(docs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     tested = materialize(_stars(members, least), "stars")
     links = _links(docs, tested, least)
     roots = materialize(connected_components(links), "roots")
-    split = _split(members, roots)
-    small, large = split.where(f"n <= {SMALL}"), split.where(f"n > {SMALL}")
-    pairs = _across(small, least)
-    crowded = materialize(large.select("node").distinct().withColumn("k", F.xxhash64("node")), "crowded")
-    if crowded.isEmpty():
-        return _more(docs, pairs, tested, links, least)[2]
-    found = _texts(docs).mapInArrow(_wanted(bloom(crowded, "k"), True), "node binary, kmers int, keys array<bigint>, sequence binary")
-    again = found.join(crowded.select("node"), "node", "left_semi").groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("kmers", "keys", "sequence")])
-    again = materialize(again, "deep")
-    deep = _members(again)
-    tested, links, roots = _more(docs, pairs.unionByName(_stars(deep, least)).distinct(), tested, links, least)
-    rest = _split(deep, roots)
-    if rest.isEmpty():
-        return roots
-    across = materialize(_tiles(rest, again, least), "links")
-    return materialize(connected_components(links.unionByName(across)), "roots")
+    discard(links)
+    signatures, done = None, [tested, members]
+    for nearest in (True, False):
+        split = _split(members, roots)
+        if split.isEmpty():
+            discard(split)
+            break
+        if signatures is None:
+            crowded = materialize(split.select("node").distinct(), "crowded")
+            signatures = _values(docs, crowded, signature, "signatures")
+            done += [crowded, signatures]
+        pairs = materialize(_tiles(split, signatures, least, nearest).join(tested, ["a", "b"], "left_anti"), "pairs")
+        links = _links(docs, pairs, least)
+        roots = _joined(roots, links.join(pairs, ["a", "b"]).select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+        tested = tested.unionByName(pairs.select("a", "b"))
+        discard(split, links)
+        done.append(pairs)
+    discard(*done)
+    return roots
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -396,8 +419,8 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     docs = docs.select("doc_id", "text")
     texts = docs.select("doc_id", text_node(F.col("text")).alias("node"), "text").where("node is not null")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sketched = materialize(texts.mapInArrow(_sketches, f"doc_id {kind}, node binary, kmers int, keys array<bigint>"), "sketches")
-    nodes = sketched.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.any_value("kmers").alias("kmers"), F.any_value("keys").alias("keys"))
+    sketched = materialize(texts.mapInArrow(_sketches, f"doc_id {kind}, node binary, words int, keys array<bigint>"), "sketches")
+    nodes = sketched.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.any_value("words").alias("words"), F.any_value("keys").alias("keys"))
     nodes = materialize(nodes, "nodes")
     roots = components(docs, nodes, least)
 
@@ -405,6 +428,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     named = classed.groupBy("root").agg(F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "node")).alias("first"))
     of_node = classed.join(named, "root").select("node", F.col("first.least_id").alias("class_id"), F.col("first.node").alias("representative"))
     of_node = materialize(of_node, "classes")
+    discard(nodes, roots)
     of_text = sketched.select("doc_id", "node").join(of_node, "node", "left").select("doc_id", "node", "class_id", "representative")
     none = F.lit(None).cast("binary")
     alone = docs.where("text is null").select("doc_id", none.alias("node"), F.col("doc_id").alias("class_id"), none.alias("representative"))
