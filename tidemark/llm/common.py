@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
+LET_GO_SECONDS = 2.0
+_let_go_at = 0.0
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,8 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
-    gc.collect()  # lets Spark's cleaner drop the shuffle files of earlier steps
-    spark.sparkContext._jvm.System.gc()
+    _let_go(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
@@ -43,6 +45,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def _let_go(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of earlier steps, which it does when the driver collects its garbage.
+
+    At most once in LET_GO_SECONDS, so that it costs a long job nothing and a short one little.
+    """
+    global _let_go_at
+    if time.monotonic() - _let_go_at >= LET_GO_SECONDS:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _let_go_at = time.monotonic()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete written tables that nothing reads any more."""
     for df in tables:
@@ -87,15 +101,18 @@ def slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20) -> Iterator[pa.Reco
     pa.default_memory_pool().release_unused()
 
 
-BLOOM_BITS = 1 << 26
+#: Least and most bits of a Bloom filter (128 KB and 64 MB), and bits for each row between them.
+BLOOM_LEAST, BLOOM_MOST, BLOOM_PER_ROW = 1 << 20, 1 << 29, 16
 
 
-def bloom(df: DataFrame, column: str, bits: int = BLOOM_BITS) -> np.ndarray:
-    """Bloom filter over a long column that is itself a good hash: bits / 8 bytes, whatever the table's size.
+def bloom(df: DataFrame, column: str) -> np.ndarray:
+    """Bloom filter over a long column that is itself a good hash; df is a written table.
 
-    The bits are united by a group-by with map-side combining; the driver gets one row for each
-    64-bit word that isn't zero. A full filter only lets more rows pass.
+    It has BLOOM_PER_ROW bits a row, rounded up to a power of two, which lets 1.4 % of other values
+    pass; BLOOM_MOST bounds it, from where on it lets more pass. The bits are united by a group-by
+    with map-side combining; the driver gets one row for each 64-bit word that isn't zero.
     """
+    bits = min(BLOOM_MOST, max(BLOOM_LEAST, 1 << (BLOOM_PER_ROW * df.count()).bit_length()))
     low = F.col(column).bitwiseAND(bits - 1)
     high = F.shiftrightunsigned(column, 32).bitwiseAND(bits - 1)
     words = (

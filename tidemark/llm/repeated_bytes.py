@@ -15,9 +15,11 @@ can reach: `left` bytes before and `right` bytes from the gram's start, cut at t
    give the farthest reach to either side; the two outermost strings are looked up among the gram's
    contexts and compared byte for byte. Only where one of them isn't repeated are the strings
    between looked up one by one.
-4. A gram with over GROUP contexts isn't collected anywhere: its contexts are dealt by bins of
-   offsets and the bytes that all strings of a bin share; what still repeats with different
-   surroundings is dealt by single strings. Both are counted by group-bys with map-side combining.
+4. A gram with over GROUP distinct contexts isn't collected anywhere. Its strings are split by their
+   offset into halves, and the contexts by the bytes that all strings of a half share: groups of up
+   to GROUP go to step 3 for their half, a context whose bytes for the half occur twice is covered
+   there (compared byte for byte, by group-bys with map-side combining) and one of its kind goes on,
+   and what is still crowded is halved again, down to single strings.
 5. Covered spans are united for each distinct text; only texts with a span are shuffled to them.
 
 Texts are told apart by a 128-bit hash. No group, however hot, meets in one task.
@@ -43,7 +45,7 @@ from tidemark.llm.suffix_sort import Text, merge_sort
 LENGTH = 400
 GRAM = 128
 #: Contexts of one gram that one task may hold.
-GROUP = 8192
+GROUP = 4096
 #: Grams with more contexts than that whose list is broadcast (8 bytes each); beyond, they are joined by shuffle.
 CROWDED = 50_000
 #: Bytes of contexts sorted at once.
@@ -52,8 +54,6 @@ BLOCK = 4 << 20
 SLICE = 64 << 10
 #: Bytes of texts moved at once when spans are cut.
 MOVED = 1 << 20
-#: Offsets of one bin of a gram with over GROUP contexts.
-BIN = 35
 #: Bits of an anchor key that hold the place; the others hold the gram's hash.
 _PLACE_BITS = np.uint64(25)
 
@@ -223,104 +223,111 @@ def _covered(gram: np.ndarray, left: np.ndarray, right: np.ndarray, raws: list[b
     return out_left, out_right
 
 
-def _blocks(length: int, group: int):
-    """mapInArrow over contexts in order of gram and context: sorts blocks of whole grams."""
+def _blocks(length: int):
+    """mapInArrow over contexts in order of part and context: sorts blocks of whole parts.
+
+    A part is a gram, or what shares more bytes around a crowded one. home is the context's own left reach.
+    """
+    columns = ("part", "gram", "context", "home", "left", "right", "bytes")
 
     def solve(rows: dict[str, list]) -> pa.RecordBatch:
-        grams = np.array(rows["gram"], np.int64)
-        numbers = np.cumsum(np.concatenate([[0], grams[1:] != grams[:-1]]))
+        parts = np.array(rows["part"], np.int64)
+        numbers = np.cumsum(np.concatenate([[0], parts[1:] != parts[:-1]]))
         left, right = (np.array(rows[c], np.int64) for c in ("left", "right"))
         lone = np.array(rows["n"]) == 1
         a, b = _covered(numbers, left, right, rows["bytes"], lone, length)
         a, b = np.where(lone, a, left), np.where(lone, b, right)
-        found = a >= 0
-        pick = np.flatnonzero(found)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(grams[pick]), pa.array(np.array(rows["context"], np.int64)[pick]), pa.array(left[pick].astype(np.int32)), pa.array(a[pick].astype(np.int32)), pa.array(b[pick].astype(np.int32))],
-            names=["gram", "context", "left", "cover_left", "cover_right"],
-        )
-
-    columns = ("gram", "context", "left", "right", "bytes")
+        pick = np.flatnonzero(a >= 0)
+        own = [pa.array(np.array(rows[c], np.int64)[pick]) for c in ("gram", "context")]
+        reach = [pa.array(x[pick].astype(np.int32)) for x in (np.array(rows["home"], np.int64), a, b)]
+        return pa.RecordBatch.from_arrays([*own, *reach], names=["gram", "context", "left", "cover_left", "cover_right"])
 
     def run(batches):
-        done: dict[str, list] = {c: [] for c in (*columns, "n")}  # whole grams that wait for their block
-        own: dict[str, list] = {c: [] for c in (*columns, "n")}  # the gram that is coming in
-        size, places = 0, 0
+        done: dict[str, list] = {c: [] for c in (*columns, "n")}  # whole parts, and at the end the one that is coming in
+        size = 0
         for whole in batches:
             for batch in slices(whole, BLOCK):
                 for row in zip(*[batch.column(c).to_pylist() for c in columns], strict=True):
-                    if own["gram"] and own["gram"][-1] != row[0]:
-                        if places <= group:
-                            for c, values in own.items():
-                                done[c] += values
-                            size += sum(map(len, own["bytes"]))
-                        own, places = {c: [] for c in own}, 0
-                        if size >= BLOCK:
-                            yield solve(done)
-                            done, size = {c: [] for c in done}, 0
-                    places += 1
-                    if places > group:  # let through by the Bloom filter only; it is counted elsewhere
-                        own = {c: [x[-1]] if c == "gram" else [] for c, x in own.items()}
-                    elif own["gram"] and own["context"][-1] == row[1] and own["left"][-1] == row[2]:
-                        own["n"][-1] += 1
-                    else:
-                        for c, x in zip((*columns, "n"), (*row, 1), strict=True):
-                            own[c].append(x)
-        if places <= group:
-            for c, values in own.items():
-                done[c] += values
-        if done["gram"]:
+                    fresh = not done["part"] or done["part"][-1] != row[0]
+                    if fresh and size >= BLOCK:
+                        yield solve(done)
+                        done, size = {c: [] for c in done}, 0
+                    if not fresh and (done["context"][-1], done["home"][-1], done["bytes"][-1]) == (row[2], row[3], row[6]):
+                        done["n"][-1] += 1
+                        continue
+                    size += len(row[6])
+                    for c, x in zip((*columns, "n"), (*row, 1), strict=True):
+                        done[c].append(x)
+        if done["part"]:
             yield solve(done)
 
     return run
 
 
-def _refined(hot: DataFrame, length: int, reach: int, bin_size: int) -> DataFrame:
-    """Coverage of the contexts of grams with many of them, by group-bys alone: (gram, context, left, cover_left, cover_right).
+_SOLVED = "gram long, context long, left int, cover_left int, cover_right int"
+
+
+def _sorted_blocks(contexts: DataFrame, length: int) -> DataFrame:
+    """Coverage of contexts by the suffix sort; no part has more than a group of distinct contexts."""
+    chosen = contexts.select("part", "gram", "context", "home", "left", "right", "bytes")
+    return chosen.repartition("part").sortWithinPartitions("part", "context", "home").mapInArrow(_blocks(length), _SOLVED)
 
-    A bin is a range [low, high] of offsets, of which a context near its text's end may allow only
-    [lo, hi]. The bin's core is the bytes that all its strings share, a context's span the bytes that
-    any of its strings holds. Where the core is nowhere else no string is repeated; where the span is
-    elsewhere too all are; else each string is looked up among one context of each span.
-    """
-    bins = [(k, min(k + bin_size - 1, reach)) for k in range(0, reach + 1, bin_size)]
-    listed = F.array(*[F.struct(F.lit(low).alias("low"), F.lit(high).alias("high")) for low, high in bins])
-    cuts = (
-        hot.select("gram", "context", "left", "right", "bytes", F.inline(listed))
-        .withColumn("lo", F.greatest("low", F.lit(length) - F.col("right")))
-        .withColumn("hi", F.least("high", "left"))
-        .where("lo <= hi")
-        .withColumn("core", F.expr(f"substring(bytes, left - low + 1, {length} - high + low)"))
-        .withColumn("span", F.expr(f"substring(bytes, left - hi + 1, {length} - lo + hi)"))
-        .select("gram", "context", "left", "bytes", "low", "lo", "hi", F.xxhash64("core", F.lit(1)).alias("core1"), F.xxhash64("core", F.lit(2)).alias("core2"), F.xxhash64("span", "lo", "hi").alias("span"))
-    )
-    core = ["gram", "low", "core1", "core2"]
-    again = cuts.groupBy(*core).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    repeated = cuts.join(again, core, "left_semi")
-    same = repeated.groupBy(*core, "span").agg(F.count(F.lit(1)).alias("same"))
-    known = repeated.join(same, [*core, "span"])
-    whole = known.where("same > 1").select("gram", "context", "left", F.col("hi").alias("cover_left"), (F.lit(length) - F.col("lo")).alias("cover_right"))
-    strings = (
-        known.where("same = 1")
-        .unionByName(known.where("same > 1").dropDuplicates([*core, "span"]))
-        .withColumn("offset", F.explode(F.sequence("lo", "hi")))
-        .withColumn("string", F.expr(f"substring(bytes, left - offset + 1, {length})"))
-        .select("gram", "context", "left", "offset", F.xxhash64("string", F.lit(1)).alias("s1"), F.xxhash64("string", F.lit(2)).alias("s2"))
-    )
-    hashes = ["gram", "offset", "s1", "s2"]
-    twice = strings.groupBy(*hashes).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    single = strings.join(twice, hashes, "left_semi").select("gram", "context", "left", F.col("offset").alias("cover_left"), (F.lit(length) - F.col("offset")).alias("cover_right"))
-    return whole.unionByName(single)
 
+def _halved(rows: DataFrame, length: int) -> DataFrame:
+    """rows (of offsets low to high) for either half of their offsets, with the bytes that matter there.
 
-def spans(docs: DataFrame, text_column: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = GROUP, bin_size: int = BIN) -> DataFrame:
+    core1 and core2 hash what all strings of the half share. left and right are cut to the strings of
+    the half that the context holds; contexts with none go.
+    """
+    middle = F.shiftright(F.col("low") + F.col("high"), 1)
+    halves = F.array(F.struct(F.col("low").alias("a"), middle.alias("b")), F.struct((middle + 1).alias("a"), F.col("high").alias("b")))
+    return (
+        rows.select("gram", "context", "home", "left", "right", "bytes", F.inline(F.filter(halves, lambda x: x.a <= x.b)))
+        .withColumn("to", F.least("b", "left"))
+        .withColumn("from", F.greatest("a", F.lit(length) - F.col("right")))
+        .where("from <= to")
+        .withColumn("core", F.expr(f"substring(bytes, left - a + 1, {length} - b + a)"))
+        .withColumn("span", F.expr(f"substring(bytes, left - to + 1, {length} - from + to)"))
+        .select(
+            "gram", "context", "home", F.col("a").alias("low"), F.col("b").alias("high"), F.col("to").alias("left"), (F.lit(length) - F.col("from")).alias("right"), F.col("span").alias("bytes"),
+            F.xxhash64("core", F.lit(1)).alias("core1"), F.xxhash64("core", F.lit(2)).alias("core2"), F.xxhash64("span", F.lit(3)).alias("span1"), F.xxhash64("span", F.lit(4)).alias("span2"),
+        )
+    )
+
+
+def _narrowed(hot: DataFrame, length: int, reach: int, group: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Coverage of the distinct contexts of crowded grams by halving their offsets, and the written tables it reads."""
+    core = ["gram", "low", "high", "core1", "core2"]
+    span = [*core, "left", "right", "span1", "span2"]
+    rows = hot.select("gram", "context", F.col("left").alias("home"), "left", "right", "bytes", F.lit(0).alias("low"), F.lit(reach).alias("high"))
+    covers, written = [], []
+    while not rows.isEmpty():
+        cuts = _halved(rows, length)
+        kinds = cuts.groupBy(*span).agg(F.count(F.lit(1)).alias("same"), F.min(F.struct("context", "home")).alias("first"), (F.min("bytes") == F.max("bytes")).alias("equal"))
+        kinds = materialize(kinds, "kinds")
+        groups = kinds.groupBy(*core).agg(F.sum("same").alias("n"), F.sum(F.when(F.col("equal"), 1).otherwise(F.col("same"))).alias("size")).where("n > 1")
+        # one context of each kind goes on, or all of them where hashes agree but bytes do not
+        goes = (F.col("size") > 1) & (~F.col("equal") | (F.struct("context", "home") == F.col("first")))
+        known = cuts.join(kinds, span).join(groups, core).withColumn("goes", goes)
+        known = known.select(*core, "context", "home", "left", "right", "size", "goes", F.expr("same > 1 and equal").alias("whole"), F.when(F.col("goes"), F.col("bytes")).alias("bytes"))
+        known = materialize(known, "halves")
+        discard(kinds)
+        written.append(known)
+        covers.append(known.where("whole").select("gram", "context", F.col("home").alias("left"), F.col("left").alias("cover_left"), F.col("right").alias("cover_right")))
+        few = known.where(f"goes and size <= {group}").withColumn("part", F.xxhash64(*core))
+        covers.append(_sorted_blocks(few, length))
+        rows = known.where(f"goes and size > {group}").where("if(low < high, true, raise_error('strings that differ share 256 bits of hashes'))")
+    return covers, written
+
+
+def spans(docs: DataFrame, text_column: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """(k1, k2, spans array of [first, last) byte): covered bytes of each distinct text that has any."""
-    reach = length - gram
     texts = docs.select(text_column)
     counts = texts.mapInArrow(_scan(length, gram, "grams", None), "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    repeated = bloom(counts.where("n > 1"), "gram")
+    repeated = materialize(counts.where("n > 1").select("gram"), "repeated")
     schema = "gram long, context long, left int, right int"
-    places = materialize(texts.mapInArrow(_scan(length, gram, "places", repeated), f"{schema}, k1 long, k2 long, at int"), "places")
+    places = materialize(texts.mapInArrow(_scan(length, gram, "places", bloom(repeated, "gram")), f"{schema}, k1 long, k2 long, at int"), "places")
+    discard(repeated)
 
     grams = places.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("least"), F.max("context").alias("most")).where("n > 1")
     grams = materialize(grams.select("gram", "n", (F.col("least") != F.col("most")).alias("open")), "grams")
@@ -334,16 +341,17 @@ def spans(docs: DataFrame, text_column: str = "text", length: int = LENGTH, gram
     else:
         cold = fetched.join(open_grams.where(f"n <= {group}").select("gram"), "gram", "left_semi")
 
-    solved = "gram long, context long, left int, cover_left int, cover_right int"
-    dealt = cold.repartition("gram").sortWithinPartitions("gram", "context", "left")
-    covered = dealt.mapInArrow(_blocks(length, group), solved)
-    hot = fetched.join(warm, "gram", "left_semi").groupBy("gram", "context", "left", "right").agg(F.any_value("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    covered = _sorted_blocks(cold.withColumn("part", F.col("gram")).withColumn("home", F.col("left")), length)
+    hot = fetched.join(warm, "gram", "left_semi").groupBy("gram", "context", "left", "right", "bytes").agg(F.count(F.lit(1)).alias("n"))
     hot = materialize(hot, "hot")
     twice = hot.where("n > 1").select("gram", "context", "left", F.col("left").alias("cover_left"), F.col("right").alias("cover_right"))
-    covers = covered.unionByName(twice).unionByName(_refined(hot, length, reach, bin_size))
+    narrowed, written = _narrowed(hot, length, length - gram, group)
+    covers = covered.unionByName(twice)
+    for found in narrowed:
+        covers = covers.unionByName(found)
     covers = covers.groupBy("gram", "context", "left").agg(F.max("cover_left").alias("cover_left"), F.max("cover_right").alias("cover_right"))
     covers = materialize(covers, "covers")
-    discard(fetched, hot)
+    discard(fetched, hot, *written)
 
     closed = places.join(grams.where("not open").select("gram"), "gram", "left_semi").select("k1", "k2", (F.col("at") - F.col("left")).alias("first"), (F.col("at") + F.col("right")).alias("last"))
     opened = places.join(covers, ["gram", "context", "left"]).select("k1", "k2", (F.col("at") - F.col("cover_left")).alias("first"), (F.col("at") + F.col("cover_right")).alias("last"))
