@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter
+from html.parser import HTMLParser
 from pathlib import Path
 
 import duckdb
@@ -141,6 +143,11 @@ def test_language_held_out_accuracy(spark, small):
     assert found.where("score < 0 or score > 1").isEmpty()
 
 
+def test_language_ties_are_rejected():
+    found = compression_langid.Classifier({"aa": b"one two three four five", "bb": b"one two three four five"})("one two three")
+    assert found[0] == "aa" and found[2]
+
+
 def test_language_of_odd_rows(spark, odd):
     models = compression_langid.fit(odd)
     assert list(models) == ["en"]
@@ -170,6 +177,34 @@ def test_attribution_by_rule():
     assert counts["split"].tolist() == pytest.approx([4 / 3, 2 / 3])
 
 
+def brute_attribution(text, cut):
+    """Tokens of each section by rule, character by character."""
+    owner = [max(k for k, (_, s) in enumerate(cut) if s <= c) for c in range(len(text))]
+    byte_owner = [owner[c] for c, ch in enumerate(text) for _ in ch.encode()]
+    character = [c for c, ch in enumerate(text) for _ in ch.encode()]
+    start, majority, split, at = Counter(), Counter(), Counter(), 0
+    for token in TIKTOKEN.encode_ordinary(text):
+        size = len(TIKTOKEN.decode_single_token_bytes(token))
+        own = [owner[c] for c in sorted(set(character[at : at + size]))]
+        start[byte_owner[at]] += 1
+        majority[max(sorted(set(own)), key=own.count)] += 1
+        for k in own:
+            split[k] += 1 / len(own)
+        at += size
+    return start, majority, split
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet="ab é.\n|-漢 x", min_size=1, max_size=80), st.sets(st.integers(1, 79), max_size=8))
+def test_attribution_matches_brute_force(text, edges):
+    encoder = test_attribution_adds_up.e = getattr(test_attribution_adds_up, "e", None) or token_attribution.Encoder(RANKS, public_tokenizers.PATTERN)
+    for cut in (token_attribution.sections(text), [("x", s) for s in [0, *sorted(e for e in edges if e < len(text))]]):
+        counts = token_attribution.allocate(*encoder.spans(text), np.array([s for _, s in cut]), len(text))
+        wanted = brute_attribution(text, cut)
+        for rule, own in zip(("start", "majority", "split"), wanted, strict=True):
+            assert counts[rule].tolist() == pytest.approx([own[k] for k in range(len(cut))])
+
+
 def test_attribution_frames(odd):
     rows = token_attribution.attribute(odd, RANKS, public_tokenizers.PATTERN).collect()
     assert {r.doc_id for r in rows} == {3, 4, 5, None, 7}
@@ -191,6 +226,63 @@ def test_html_never_fails(html):
     html_layout.visible_text(html)
 
 
+PIECES = ["<ol start=", "<td colspan=", "<td rowspan=", "<tr>", "<table>", "</table>", "<li>", "</ol>", "<p hidden", " style='display:none'", "<math>", "</math>", "<svg>", "<pre>", "</pre>", "'", '"', ">", "-", "2", "0", "²", "9999999999", "x", " ", "&#9;", "&lt"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=40).map("".join))
+def test_html_never_fails_on_attributes(html):
+    html_layout.visible_text(html)
+
+
+def test_html_numbers_that_are_none():
+    for html in ('<ol start="²"><li>a</ol>', '<ol start="--5"><li>a</ol>'):
+        assert html_layout.visible_text(html) == "1. a"
+    assert html_layout.visible_text('<table><tr><td colspan="²">a<td>b</table>') == "a  b"
+
+
+def test_html_spanned_rows_formulas_and_labels():
+    html = "<table><tr><td rowspan=2>aa<td>b<tr><td>c<tr><td>d<td>e</table><p>x=<math><mi>y</mi><annotation>no</annotation></math> <svg><title>no</title><text>label</text></svg>"
+    assert html_layout.visible_text(html) == "aa  b\n    c\nd   e\n\nx=y label"
+
+
+class Visible(HTMLParser):
+    """Words of a page outside elements that are never shown; for pages without implied ends of hidden elements."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.words = [], []
+
+    def handle_starttag(self, tag, attrs):
+        found = dict(attrs)
+        style = (found.get("style") or "").replace(" ", "").lower()
+        hidden = tag in html_layout.HIDDEN or "hidden" in found or "display:none" in style or "visibility:hidden" in style
+        if tag not in html_layout.VOID:
+            self.open.append((tag, hidden))
+
+    def handle_endtag(self, tag):
+        tags = [t for t, _ in self.open]
+        if tag in tags:
+            del self.open[len(tags) - 1 - tags[::-1].index(tag) :]
+
+    def handle_data(self, data):
+        if not any(hidden for _, hidden in self.open):
+            self.words += data.split()
+
+
+def test_html_has_every_visible_word(spark, small):
+    """The words of all pages, against another parser that knows nothing of layout."""
+    pages = spark.read.parquet(f"{small}/pages.parquet").where("html is not null")
+    html = {r.page_id: r.html for r in pages.collect()}
+    marks = re.compile(r"-|\d+\.")
+    for row in html_layout.extract(pages).collect():
+        parser = Visible()
+        parser.feed(html[row.page_id])
+        parser.close()
+        plain = lambda words: Counter("".join(w for w in words if not marks.fullmatch(w)))  # noqa: E731  words of inline elements may touch
+        assert plain(row.text.split()) == plain(parser.words), row.page_id
+
+
 def test_html_odd_pages(spark):
     pages = spark.createDataFrame([(1, None), (2, ""), (3, "<div>" * 30000 + "x"), (3, "<table>" * 50 + "x")], "page_id long, html string")
     assert {(r.page_id, r.text) for r in html_layout.extract(pages.withColumn("text", F.lit(1))).collect()} == {(1, None), (2, ""), (3, "x")}
@@ -213,6 +305,8 @@ def test_toxicity_frames(spark, small, odd):
     found = ordinal_toxicity.predict(docs, ordinal_toxicity.fit(docs, labels, grade)).join(labels.select("doc_id", F.col("toxic").alias("truth")), "doc_id")
     mean = {r.truth: r.s for r in found.groupBy("truth").agg(F.avg("severity").alias("s")).collect()}
     assert mean[1] > mean[0] + 0.3
+    grades = spark.createDataFrame([(0, 1), (0, 0), (1, 1), (1, 0), (None, 1), (None, 0), (1, None)], "toxic int, quality int").select("toxic", "quality", grade.alias("g"))
+    assert {(r.toxic, r.quality): r.g for r in grades.collect()} == {(0, 1): 0, (0, 0): 0, (1, 1): 1, (1, 0): 2, (None, 1): None, (None, 0): None, (1, None): 1}
     empty = ordinal_toxicity.fit(odd, labels.limit(0), grade)
     assert {r.severity for r in ordinal_toxicity.predict(odd, empty).collect()} == {0.0}
 
@@ -228,6 +322,38 @@ def test_masked_lm_prefers_order(spark, small, odd):
     assert masked_lm.fit_and_score(odd.limit(0)).isEmpty()
 
 
+def test_masked_lm_is_the_same_in_any_partitioning(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    scores = []
+    for n in (2, 7):
+        found = masked_lm.fit_and_score(docs.repartition(n, "source", "doc_id"))
+        scores.append({r.doc_id: r.log_prob for r in found.collect()})
+    assert all(scores[1][k] == pytest.approx(x, rel=1e-6) for k, x in scores[0].items())
+
+
+def test_masked_lm_scores_are_sums_of_conditionals(spark, small):
+    """Brute force over single words, repeated rows and a very long text; held-out words beat their corpus shares."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    vocabulary = masked_lm.Vocabulary(masked_lm.count(docs.where(~held)))
+    parameters = masked_lm.train(docs.where(~held), vocabulary)
+    network, mark = masked_lm.Network(parameters), masked_lm.CLASSES
+    texts = [(1, "the of a zzz the"), (1, "the of a zzz the"), (2, "one"), (3, "the of " * 20000)]
+    rows = masked_lm.score(spark.createDataFrame(texts, "doc_id long, text string"), vocabulary, parameters).collect()
+    got = sorted((r.doc_id, r.n_tokens, r.log_prob) for r in rows)
+    for (doc_id, text), (own_id, n, found) in zip(sorted(texts), got, strict=True):
+        own = masked_lm.numbers(text)
+        padded = [mark] * masked_lm.REACH + vocabulary.of[own].tolist() + [mark] * masked_lm.REACH
+        contexts = [[padded[k], padded[k + 1], padded[k + 3], padded[k + 4]] for k in range(len(own))]
+        logs = network.forward(np.array(contexts))[1]
+        wanted = sum(float(logs[k, vocabulary.of[w]]) + float(vocabulary.share[w]) for k, w in enumerate(own.tolist()))
+        assert (own_id, n) == (doc_id, len(own)) and found == pytest.approx(wanted, rel=1e-5)
+    texts = [r.text for r in docs.where(held).collect() if r.text]
+    context, target = masked_lm.windows([vocabulary.of[masked_lm.numbers(t)] for t in texts])
+    with_context = network.forward(context)[1][np.arange(len(target)), target].mean()
+    assert with_context > vocabulary.mass[target].mean() + 0.1
+
+
 def test_masked_lm_learns():
     rnd = np.random.default_rng(1)
     start = rnd.integers(0, 8, 400)

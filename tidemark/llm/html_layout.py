@@ -7,13 +7,17 @@ there is none (</p> without <p> makes an empty paragraph). Scripts, styles and o
 elements are read up to their own end tag.
 
 Not visible: head, script, style, template, noscript, iframes and their like, comments, hidden
-inputs, closed dialogs, and elements with the hidden attribute or with display:none or
-visibility:hidden in their style attribute. All other text is emitted, character references resolved.
+inputs, closed dialogs, titles, definitions and metadata of drawings, annotations of formulas, and
+elements with the hidden attribute or with display:none or visibility:hidden in their style
+attribute. All other text is emitted, formulas and labels of drawings included, character references
+resolved.
 
 Layout: white space collapses outside <pre>. Blocks stand on lines of their own; paragraphs,
 headings, lists, tables, quotes and <pre> are set off by a blank line. List items get "- " or their
 number, and nested lists are indented. Tables are laid out in columns: a column is as wide as its
-widest cell, cells are padded and set two spaces apart, cells may have several lines and span columns.
+widest cell, cells are padded and set two spaces apart, cells may have several lines, span columns and
+span rows (they stand in their first row and keep their columns free below). Spans and list numbers
+that aren't whole numbers count as absent.
 
 Rows: null HTML gives null text; empty HTML empty text. Depth is bounded by the input only (no
 recursion but for tables in tables beyond whose TABLE_DEPTH cells are laid out as blocks). Repeated
@@ -23,6 +27,7 @@ pages repeat; an empty table gives an empty result; only named columns are read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -30,10 +35,12 @@ from pyspark.sql import DataFrame
 
 from tidemark.llm.common import per_batch
 
-TABLE_DEPTH = 8
+TABLE_DEPTH = 64
+#: Most columns that a cell spans, as in browsers.
+COLUMNS = 1000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes title object video audio canvas svg math datalist map".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes title object video audio canvas datalist map annotation annotation-xml desc defs metadata".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr".split())
 BLOCK = SPACED | frozenset("html body div section article header footer nav aside main address form fieldset legend li dt dd figcaption details summary dialog center menu tr caption option optgroup".split())
 #: Start tags that end an open paragraph.
@@ -53,8 +60,8 @@ ENDS = {
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "body": ({"head"}, {"html"}),
 }
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = {name: re.compile(rf"(?:^|\s){name}\s*=\s*[\"']?\s*([^\s\"'>]*)", re.I) for name in ("type", "colspan", "start")}
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+_ATTRIBUTE = {name: re.compile(rf"(?:^|\s){name}\s*=\s*[\"']?\s*([^\s\"'>]*)", re.I) for name in ("colspan", "rowspan", "start")}
 _STYLED = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|style\s*=)", re.I)
 _QUOTED = re.compile(r"=\s*(\"[^\"]*\"|'[^']*')")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
@@ -73,6 +80,12 @@ def attribute(node: Node, name: str) -> str:
     return found[1].lower() if found else ""
 
 
+def whole_number(node: Node, name: str) -> int | None:
+    """The attribute as a whole number of up to nine digits, or None."""
+    found = re.fullmatch(r"-?[0-9]{1,9}", attribute(node, name))
+    return int(found[0]) if found else None
+
+
 def _hidden(tag: str, attributes: str) -> bool:
     if tag in HIDDEN:
         return True
@@ -90,10 +103,27 @@ def _hidden(tag: str, attributes: str) -> bool:
     return bool(style and re.search(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", next((g for g in style.groups() if g), ""), re.I))
 
 
+class _Stack(list):
+    """The open elements, and how many of each tag there are."""
+
+    def __init__(self, root: Node):
+        super().__init__([root])
+        self.open: Counter[str] = Counter()
+
+    def push(self, node: Node) -> None:
+        self.append(node)
+        self.open[node.tag] += 1
+
+    def cut(self, at: int) -> None:
+        """Close all elements from the place at on."""
+        self.open.subtract([node.tag for node in self[at:]])
+        del self[at:]
+
+
 def parse(html: str) -> Node:
     """The tree of a page, with implied tags."""
     root = Node("html")
-    stack = [root]
+    stack = _Stack(root)
     at = 0
     search = _TOKEN.search
     while at < len(html):
@@ -116,7 +146,7 @@ def parse(html: str) -> Node:
                 if stop > at and stack[-1].shown:
                     stack[-1].children.append(unescape(html[at:stop]))
                 at = close.end() if close else len(html)
-                stack.pop()
+                stack.cut(len(stack) - 1)
         elif end:
             _close(stack, end.lower())
         elif token[0].startswith("<![CDATA["):
@@ -124,7 +154,7 @@ def parse(html: str) -> Node:
     return root
 
 
-def _open(stack: list[Node], tag: str, attributes: str) -> None:
+def _open(stack: _Stack, tag: str, attributes: str) -> None:
     if tag in ENDS_P:
         _end(stack, {"p"}, {"table", "td", "th", "caption", "button", "object"})
     if tag in ENDS:
@@ -134,11 +164,13 @@ def _open(stack: list[Node], tag: str, attributes: str) -> None:
     node = Node(tag, attributes, not _hidden(tag, attributes))
     stack[-1].children.append(node)
     if tag not in VOID and not (attributes.endswith("/") and tag in ("svg", "math")):
-        stack.append(node)
+        stack.push(node)
 
 
-def _end(stack: list[Node], tags: set, limits: set) -> None:
+def _end(stack: _Stack, tags: set, limits: set) -> None:
     """Close the outermost of the open elements with one of the tags, not beyond a limit."""
+    if not any(stack.open[tag] for tag in tags):
+        return
     found = None
     for k in range(len(stack) - 1, 0, -1):
         if stack[k].tag in limits:
@@ -146,16 +178,16 @@ def _end(stack: list[Node], tags: set, limits: set) -> None:
         if stack[k].tag in tags:
             found = k
     if found:
-        del stack[found:]
+        stack.cut(found)
 
 
-def _close(stack: list[Node], tag: str) -> None:
+def _close(stack: _Stack, tag: str) -> None:
     if tag == "br":
         stack[-1].children.append(Node("br"))
         return
-    for k in range(len(stack) - 1, 0, -1):
+    for k in range(len(stack) - 1, 0, -1) if stack.open[tag] else ():
         if stack[k].tag == tag:
-            del stack[k:]
+            stack.cut(k)
             return
         if stack[k].tag == "table" and tag not in ("body", "html"):
             break
@@ -284,13 +316,13 @@ def _enter(node: Node, out: _Lines, counters: list, depth: int):
             out.verbatim(text.split("\n"))
         out.block(True)
         return "done"
-    if tag in ("td", "th"):
+    if tag in ("td", "th", "text"):
         out.text(" ")
     if tag in BLOCK:
         out.block(tag in SPACED and not (tag in ("ul", "ol") and counters))
     if tag in ("ul", "ol", "menu"):
-        start = attribute(node, "start")
-        counters.append(int(start) - 1 if tag == "ol" and start.lstrip("-").isdigit() else 0 if tag == "ol" else None)
+        first = whole_number(node, "start")
+        counters.append(None if tag != "ol" else 0 if first is None else first - 1)
     elif tag == "li":
         if counters and counters[-1] is not None:
             counters[-1] += 1
@@ -334,7 +366,8 @@ def _plain(node: Node) -> str:
 
 def _table(table: Node, depth: int) -> list[str]:
     """A table's captions, then its rows with aligned columns; other content comes first, as in browsers."""
-    rows: list[list[tuple[list[str], int]]] = []
+    rows: list[list[tuple[int, list[str], int]]] = []  # cells: first column, lines, columns
+    taken: dict[int, int] = {}  # column -> rows below that a cell above still holds
     loose: list[str] = []
     stack: list = list(table.children[::-1])
     while stack:
@@ -345,19 +378,8 @@ def _table(table: Node, depth: int) -> list[str]:
         elif not node.shown:
             continue
         elif node.tag == "tr":
-            cells = []
-            for cell in node.children:
-                if isinstance(cell, str):
-                    if cell.strip(" \t\n\f\r"):
-                        loose.append(_SPACE.sub(" ", cell).strip())
-                elif cell.shown and cell.tag in ("td", "th"):
-                    span = attribute(cell, "colspan")
-                    inner = Node("div")
-                    inner.children = cell.children
-                    cells.append((render(inner, depth + 1), min(int(span), 1000) if span.isdigit() and int(span) else 1))
-                elif cell.shown and cell.tag not in VOID:
-                    loose += render(cell, depth + 1)
-            if any(lines for lines, _ in cells):
+            cells = _row(node, taken, loose, depth)
+            if any(lines for _, lines, _ in cells):
                 rows.append(cells)
         elif node.tag in ("thead", "tbody", "tfoot"):
             stack += node.children[::-1]
@@ -365,24 +387,49 @@ def _table(table: Node, depth: int) -> list[str]:
             loose += render(node, depth + 1)
     widths: dict[int, int] = {}
     for cells in rows:
-        column = 0
-        for lines, span in cells:
+        for column, lines, span in cells:
             if span == 1:
                 widths[column] = max(widths.get(column, 0), max(map(len, lines), default=0))
-            column += span
     out = loose
     for cells in rows:
-        text = [""] * max(len(lines) for lines, _ in cells)
-        column = 0
-        for lines, span in cells:
+        text = [""] * max(len(lines) for _, lines, _ in cells)
+        at = 0
+        for column, lines, span in cells:
+            free = "".join(" " * (widths.get(c, 0) + 2) for c in range(at, column))
             width = sum(widths.get(c, 0) for c in range(column, column + span)) + 2 * (span - 1)
             width = max(width, max(map(len, lines), default=0)) if span > 1 else width
-            text = [t + (lines[k] if k < len(lines) else "").ljust(width) + "  " for k, t in enumerate(text)]
-            column += span
+            text = [t + free + (lines[k] if k < len(lines) else "").ljust(width) + "  " for k, t in enumerate(text)]
+            at = column + span
         out += [t.rstrip(" ") for t in text]
     return out
 
 
+def _row(row: Node, taken: dict[int, int], loose: list[str], depth: int) -> list[tuple[int, list[str], int]]:
+    """The cells of a row beside those that reach down into it; text outside cells goes to loose."""
+    cells, column = [], 0
+    held = {c: n - 1 for c, n in taken.items()}
+    for cell in row.children:
+        if isinstance(cell, str):
+            if cell.strip(" \t\n\f\r"):
+                loose.append(_SPACE.sub(" ", cell).strip())
+        elif cell.shown and cell.tag in ("td", "th"):
+            while column in taken:
+                column += 1
+            span = min(max(whole_number(cell, "colspan") or 1, 1), COLUMNS)
+            below = whole_number(cell, "rowspan")
+            inner = Node("div")
+            inner.children = cell.children
+            cells.append((column, render(inner, depth + 1), span))
+            if below == 0 or (below or 1) > 1:  # 0: all rows that follow
+                held.update(dict.fromkeys(range(column, column + span), below - 1 if below else 1 << 30))
+            column += span
+        elif cell.shown and cell.tag not in VOID:
+            loose += render(cell, depth + 1)
+    taken.clear()
+    taken.update({c: n for c, n in held.items() if n > 0})
+    return cells
+
+
 def visible_text(html: str | None) -> str | None:
     return None if html is None else "\n".join(render(parse(html)))
 
