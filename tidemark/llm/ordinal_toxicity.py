@@ -12,8 +12,9 @@ covers every whole text.
 
 Rows: null text and text without a letter get severity 0 and grade 0. Labels that are null, repeat
 (the highest grade counts) or name unknown documents are fine; with no label, or one grade only,
-every text gets that grade's number (0 without labels). Repeated documents repeat; an empty table
-gives an empty result; only named columns are read.
+every text gets that grade's number (0 without labels). Repeated documents repeat in the result, and
+an id that repeats gives the fit one row (the least); an empty table gives an empty result; only
+named columns are read.
 """
 
 from __future__ import annotations
@@ -54,9 +55,9 @@ def features(text: str | None) -> dict[int, int]:
 
 
 def severity_grade() -> Column:
-    """0 not toxic, 1 toxic, 2 toxic in a text that is labelled poor as well."""
+    """0 not toxic, 1 toxic, 2 toxic in a text that is labelled poor as well; null where toxic is null."""
     toxic = F.col("toxic").cast("int")
-    return F.when(toxic == 0, 0).otherwise(1 + F.when(F.col("quality") == 0, 1).otherwise(0)).cast("int")
+    return F.when(toxic == 0, 0).when(toxic.isNotNull(), 1 + F.when(F.col("quality") == 0, 1).otherwise(0)).cast("int")
 
 
 class Model:
@@ -139,21 +140,24 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, rows: int = SAMPLE_RO
     rate = {g: min(1.0, rows / len(counts) / n) for g, n in counts.items()}
     shares = F.create_map(*[F.lit(x) for g, r in sorted(rate.items()) for x in (g, r)])
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    drawn = graded.where(place < shares[F.col("grade")] * float(1 << 30)).limit(2 * rows)
+    drawn = graded.where(place < shares[F.col("grade")] * float(1 << 30))
 
     def counted(batches):
         for whole in batches:
             for batch in slices(whole):
                 found = [sorted(features(t).items()) for t in batch.column(1).to_pylist()]
                 numbers = pa.array([np.array([f for f, _ in own], "<u4").tobytes() for own in found], pa.binary())
-                counts = pa.array([np.array([min(n, 65535) for _, n in own], "<u2").tobytes() for own in found], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), numbers, counts], names=["grade", "features", "counts"])
-
-    sample = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("grade", "text")
-    got = sample.mapInArrow(counted, "grade int, features binary, counts binary").limit(2 * rows).toArrow()
+                counts = pa.array([np.array([n for _, n in own], "<u4").tobytes() for own in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:1], numbers, counts, batch.column(2)], names=["grade", "features", "counts", "doc_id"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sample = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("grade", "text", "doc_id")
+    counted_rows = sample.mapInArrow(counted, f"grade int, features binary, counts binary, doc_id {kind}")
+    # an id that repeats gives one row, so the sample has no more rows than ids were drawn
+    got = counted_rows.groupBy("doc_id").agg(F.min(F.struct("grade", "features", "counts")).alias("row")).select("row.*").toArrow()
     order = sorted(range(got.num_rows), key=lambda k: (got.column(0)[k].as_py(), got.column(1)[k].as_py(), got.column(2)[k].as_py()))
     grades = got.column(0).to_numpy()[order].astype(np.int64)
-    sparse = [(np.frombuffer(got.column(1)[k].as_buffer(), "<u4"), np.frombuffer(got.column(2)[k].as_buffer(), "<u2")) for k in order]
+    sparse = [(np.frombuffer(got.column(1)[k].as_buffer(), "<u4"), np.frombuffer(got.column(2)[k].as_buffer(), "<u4")) for k in order]
     weight = np.array([1 / rate[g] for g in grades.tolist()])
     return train(grades, sparse, weight * len(weight) / max(weight.sum(), 1e-9))
 
