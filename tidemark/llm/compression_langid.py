@@ -48,11 +48,11 @@ def fit(docs: DataFrame, label: str = "lang", text_column: str = "text", diction
         place = F.pmod(F.xxhash64("label", "body"), F.lit(1 << 30))
         at = F.pmod(F.xxhash64("body", F.lit(1)), F.greatest(F.length("body") - SNIPPET, F.lit(1))).cast("int") + 1
         sample = rows.where(place < share[F.col("label")] * float(1 << 30)).select("label", F.lower(F.substring("body", at, F.lit(SNIPPET))).alias("snippet"), place.alias("place"))
-        for r in sample.dropDuplicates(["label", "snippet"]).limit(4 * want * len(counts)).collect():
+        for r in sample.dropDuplicates(["label", "snippet"]).collect():  # about want texts a label
             found[r.label].append((r.place, r.snippet))
     for label_, own in found.items():
         if not own:  # many copies of few texts, none of them drawn
-            own += [(0, r.snippet) for r in rows.where(F.col("label") == label_).select(F.lower(F.substring("body", 1, SNIPPET)).alias("snippet")).limit(8).collect()]
+            own += [(0, r.snippet) for r in rows.where(F.col("label") == label_).select(F.lower(F.substring("body", 1, SNIPPET)).alias("snippet")).distinct().orderBy("snippet").limit(8).collect()]
     return {label_: "\n".join(s for _, s in sorted(own)).encode()[:dictionary_bytes] for label_, own in sorted(found.items())}
 
 

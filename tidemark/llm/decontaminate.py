@@ -269,8 +269,7 @@ def cut_text(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", i
             rows = zip(batch.column(at).to_pylist(), batch.column(last).to_pylist(), strict=True)
             yield replaced(batch, [without(t, s) if s else t for t, s in rows])
 
-    others = [c for c in names if c != text_column]
-    found = find(docs, benchmark, others[0], text_column, item_column, item_text, window, block_bytes, keep=tuple(names))
+    found = find(docs, benchmark, names[0], text_column, item_column, item_text, window, block_bytes, keep=tuple(names))
     return found.select(*names, "spans").mapInArrow(cut, fields)
 
 
