@@ -11,6 +11,9 @@ from tidemark.llm.common import materialize, read
 from tidemark.llm.queries import rank_file
 from tidemark.session import ship_code
 
+#: Bytes from which a repeated string is cut: what 50 words of three letters and their spaces have. And of its grams.
+PASSAGE, PASSAGE_GRAM = 200, 64
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the certified cutoffs of their language."""
@@ -24,9 +27,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes that a 400-byte string found elsewhere covers."""
+    """Documents without the bytes that a PASSAGE-byte string found elsewhere covers."""
     ship_code(spark)
-    return _counted(repeated_bytes.cut_text(docs))
+    return _counted(repeated_bytes.cut_text(docs, length=PASSAGE, gram=PASSAGE_GRAM))
 
 
 def benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
