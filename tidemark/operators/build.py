@@ -16,13 +16,19 @@ HORIZONS = targets.HORIZONS
 def decision_rows(bars: DataFrame, market: DataFrame, actions: DataFrame, events: DataFrame, calendar: DataFrame) -> DataFrame:
     """All features of every (ticker, decision_date) on the basis known that day, with eligibility and contamination.
 
-    Segments of constant knowledge are computed over their whole visible history and cut to their own
-    sessions. market: trading_date, market_close. events as contamination() takes them.
+    Segments of constant knowledge see their whole visible history in the recurrences, and the bars
+    that a window can reach in all else; they are cut to their own sessions at the end. market:
+    trading_date, market_close. events as contamination() takes them.
     """
     history = asof.segment_histories(bars, actions, calendar)
     prices = {c: F.col(f"split_adjusted_{c}") for c in ("open", "high", "low", "close", "volume")}
     own = history.select("ticker", "first_seq", "last_seq", "bar_seq", "trading_date", "available_at", *[x.alias(c) for c, x in prices.items()])
-    rows = features.all_features(own.join(market, "trading_date", "left"), ["ticker", "first_seq"])
+    segment = ["ticker", "first_seq"]
+    order = Window.partitionBy(*segment).orderBy("bar_seq")
+    smooth = features.add_smoothed(own, segment).withColumn("_n", F.row_number().over(order))
+    start = F.min(F.when(F.col("bar_seq") >= F.col("first_seq"), F.col("_n"))).over(Window.partitionBy(*segment))
+    reach = smooth.withColumn("_start", start).where(F.col("_n") >= F.col("_start") - features.LOOKBACK).drop("_n", "_start")
+    rows = features.add_percentiles(features.windowed(reach.join(market, "trading_date", "left"), segment), segment)
     rows = rows.where("bar_seq between first_seq and last_seq")
     rows = rows.withColumn("history_count", F.count(F.lit(1)).over(Window.partitionBy("ticker").orderBy("bar_seq")))
     rows = features.eligibility(rows).withColumnRenamed("trading_date", "decision_date").withColumn("decision_time", asof.decision_time("decision_date"))

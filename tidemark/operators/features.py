@@ -115,14 +115,23 @@ def add_percentiles(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return per_series(df, keys or ["ticker"], RANKED, ranked)
 
 
-def all_features(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """df with every feature; market_close is needed. keys tell the series apart (ticker, or ticker and segment)."""
+#: Bars before a row that its window features can look at: 252 volatilities of 20 returns.
+LOOKBACK = 272
+
+
+def windowed(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """df with every feature that looks back LOOKBACK bars at most, but for the percentiles; market_close is needed."""
     w = window(keys)
     for group in (returns, momentum, gaps, true_range, moving_averages, volumes, drawdowns, year_range, against_market):
         df = df.withColumns(group(w))
     for group in (volatility, downside_volatility, average_true_range, co_movement):
         df = df.withColumns(group(w))
-    return per_series(df, keys or ["ticker"], SMOOTHED | RANKED, smoothed_and_ranked)
+    return df
+
+
+def all_features(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """df with every feature; market_close is needed. keys tell the series apart (ticker, or ticker and segment)."""
+    return per_series(windowed(df, keys), keys or ["ticker"], SMOOTHED | RANKED, smoothed_and_ranked)
 
 
 def eligibility(df: DataFrame) -> DataFrame:

@@ -13,7 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LIQUIDITY = ("avg_dollar_volume_20d", "avg_dollar_volume_60d")
-FOREST = {"small": (100, 5, 50), "medium": (200, 8, 30), "wide": (200, 10, 20)}
+# Frozen profiles, forests as (trees, depth, leaf, features), boosting as (rounds, depth, rate, leaf). Depth 30 is the deepest there is.
+FOREST = {"small": (300, 4, 100, "sqrt"), "medium": (400, 8, 50, "sqrt"), "wide": (400, 30, 100, "0.5")}
+BOOSTED = {
+    "xgb-small": (300, 3, 0.03, 20), "xgb-reg": (600, 3, 0.02, 50), "xgb-medium": (500, 4, 0.03, 20),
+    "lgbm-small": (300, 4, 0.03, 100), "lgbm-reg": (600, 4, 0.02, 150), "lgbm-medium": (500, 6, 0.03, 75),
+}
 
 
 def train_mean(train: DataFrame, rows: DataFrame, label: str) -> DataFrame:
@@ -59,12 +64,30 @@ def logistic(train: DataFrame, label: str, c: float):
 
 
 def forest(train: DataFrame, label: str, profile: str = "small", seed: int = 42):
-    trees, depth, leaf = FOREST[profile]
-    return RandomForestRegressor(labelCol=label, numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", seed=seed).fit(train)
+    trees, depth, leaf, chosen = FOREST[profile]
+    return RandomForestRegressor(labelCol=label, numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy=chosen, seed=seed).fit(train)
 
 
-def boosted(train: DataFrame, label: str, rounds: int = 50, depth: int = 4, rate: float = 0.05, seed: int = 42):
-    return GBTRegressor(labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, seed=seed).fit(train)
+def boosted(train: DataFrame, label: str, rounds: int = 50, depth: int = 4, rate: float = 0.05, leaf: int = 1, seed: int = 42):
+    chosen = {"subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": seed}
+    return GBTRegressor(labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=rate, minInstancesPerNode=leaf, **chosen).fit(train)
+
+
+def run_profiles(train: DataFrame, test: DataFrame, label: str, fits: dict) -> DataFrame:
+    """(profile, mae, rmse, pearson) of models on prepared rows; fits: name -> function of (train, label), a few, each distributed."""
+    from tidemark.operators.metrics import regression_errors
+
+    out = None
+    for name, fit in fits.items():
+        one = regression_errors(fit(train, label).transform(test), label, "prediction").withColumn("profile", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def frozen_profiles() -> dict:
+    """The frozen forests and boosted trees, as run_profiles takes them."""
+    forests = {f"rf-{p}": lambda train, label, p=p: forest(train, label, p) for p in FOREST}
+    return forests | {p: lambda train, label, own=own: boosted(train, label, *own) for p, own in BOOSTED.items()}
 
 
 def probability(model, rows: DataFrame) -> DataFrame:

@@ -185,7 +185,6 @@ def _walked(spark, sf_dir, policies, alpha=1.0, label=LABEL):
     rows = store_plane._model_rows(spark, sf_dir)
     if label == "rank":
         rows = rows.withColumn("rank", targets.percentile_rank(F.col(LABEL), ["decision_date"]))
-    rows = written(rows.select("ticker", "decision_date", *INPUTS, LABEL, END, *(["rank"] if label == "rank" else [])), "model_rows")
     sums = experiments.Grams(experiments.grams(rows, INPUTS, label, END), INPUTS)
     starts = sorted({decided for decided, _, _ in sums.parts})
     fitted = experiments.fits(sums, starts, policies, alpha)

@@ -235,7 +235,8 @@ def _model_rows(spark, sf_dir):
     bars = split_adjusted(base.bars(spark, sf_dir), base.actions(spark, sf_dir))
     label = targets.price_targets(bars.select("ticker", "trading_date", "split_adjusted_close"), base.calendar(spark, sf_dir)).select("ticker", "decision_date", "target_return_5d", "target_end_date_5d")
     plain = bars.select("ticker", "trading_date", F.col("split_adjusted_close").alias("close"), F.col("split_adjusted_volume").alias("volume"), F.col("split_adjusted_open").alias("open")).withColumns(features.momentum(w)).withColumns(features.gaps(w))
-    return plain.withColumnRenamed("trading_date", "decision_date").join(label, ["ticker", "decision_date"])
+    # fits pass over these rows again and again
+    return written(plain.withColumnRenamed("trading_date", "decision_date").join(label, ["ticker", "decision_date"]), "model_rows")
 
 
 INPUTS = ["momentum_5d", "momentum_10d", "momentum_20d", "gap_open", "intraday_return"]
@@ -266,6 +267,13 @@ def m07_boosted(spark, sf_dir):
     return metrics.regression_errors(models.boosted(train, "target_return_5d").transform(test), "target_return_5d", "prediction")
 
 
+def m08_profiles(spark, sf_dir):
+    """Three settings side by side on the same prepared rows; the frozen profiles take the same way."""
+    train, test = (written(rows.select("features", "target_return_5d"), "tree_rows") for rows in _tree_rows(spark, sf_dir))
+    fits = {"ridge": lambda train, label: models.ridge(train, label, 1.0), "shallow": lambda train, label: models.boosted(train, label, 3, 2, 0.1, 50), "deeper": lambda train, label: models.boosted(train, label, 3, 4, 0.1, 50)}
+    return models.run_profiles(train, test, "target_return_5d", fits)
+
+
 def m01_baseline(spark, sf_dir):
     rows = base.read(spark, sf_dir, "labels").where("quality is not null")
     return models.train_mean(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1"), "quality").groupBy(F.round("prediction", 6).alias("prediction")).agg(F.count(F.lit(1)).alias("rows"))
@@ -322,6 +330,7 @@ QUERIES = {
     "m05_logistic": m05_logistic,
     "m07_forest": m07_forest,
     "m07_boosted": m07_boosted,
+    "m08_profiles": m08_profiles,
     "m01_baseline": m01_baseline,
     "s01_tumbling": s01_tumbling,
     "s02_sessions": s02_sessions,
