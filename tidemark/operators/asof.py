@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.sizes import small
+
 MARKET_ZONE = "America/New_York"
 DECISION_CLOCK = "20:15:00"
 
@@ -66,24 +68,27 @@ def split_adjusted_as_of(bars: DataFrame, actions: DataFrame, day: Column, clock
 def activation(df: DataFrame, date_column: str, calendar: DataFrame) -> DataFrame:
     """df with `active_seq`, the first session on or after its date whose cutoff is not before available_at.
 
-    calendar has session and seq; df has ticker. Each bound is the least session number over a frame
-    of later points, in one sort of a ticker's rows and the sessions.
+    calendar has session and seq. In market time a row that is available after the decision clock
+    waits for the next day, so both bounds are lookups by day.
     """
-    days = calendar.select("session", "seq", decision_time("session").alias("cutoff"))
-    df = first_not_before(df, F.col(date_column), days, F.col("session"), "_by_date")
-    df = first_not_before(df, F.col("available_at"), days, F.col("cutoff"), "_by_cutoff")
-    known = F.col("available_at").isNotNull() & F.col("_by_date").isNotNull() & F.col("_by_cutoff").isNotNull()
+    df = first_not_before(df, F.col(date_column), calendar, "_by_date")
+    local = F.from_utc_timestamp("available_at", MARKET_ZONE)
+    late = local > F.to_timestamp(F.concat_ws(" ", F.to_date(local).cast("string"), F.lit(DECISION_CLOCK)))
+    ready = F.when(late, F.date_add(F.to_date(local), 1)).otherwise(F.to_date(local))
+    df = first_not_before(df, ready, calendar, "_by_cutoff")
+    known = F.col("_by_date").isNotNull() & F.col("_by_cutoff").isNotNull()
     return df.withColumn("active_seq", F.when(known, F.greatest("_by_date", "_by_cutoff"))).drop("_by_date", "_by_cutoff")
 
 
-def first_not_before(df: DataFrame, value: Column, days: DataFrame, point: Column, name: str) -> DataFrame:
-    """df with the seq of the first day whose point is >= value."""
-    tickers = df.select("ticker").distinct()
-    points = tickers.crossJoin(F.broadcast(days)).select("ticker", F.unix_micros(point.cast("timestamp")).alias("_at"), F.col("seq").alias("_seq"), F.lit(False).alias("_row"))
-    rows = df.withColumns({"_at": F.unix_micros(value.cast("timestamp")), "_row": F.lit(True)})
-    later = Window.partitionBy("ticker").orderBy(-F.col("_at")).rangeBetween(Window.unboundedPreceding, 0)
-    both = rows.unionByName(points, allowMissingColumns=True).withColumn(name, F.when(F.col("_at").isNotNull(), F.min("_seq").over(later)))
-    return both.where("_row").drop("_at", "_row", "_seq")
+def first_not_before(df: DataFrame, day: Column, calendar: DataFrame, name: str) -> DataFrame:
+    """df with the seq of the first session on or after a day, by a table of all days of the calendar."""
+    before = F.lag("session").over(Window.orderBy("seq"))  # the calendar, a small dimension
+    spans = calendar.select("session", "seq", F.coalesce(F.date_add(before, 1), F.col("session")).alias("_from"))
+    days = spans.select(F.explode(F.sequence("_from", "session")).alias("_day"), F.col("seq").alias(name))
+    first = calendar.agg(F.min("session").alias("_first"))
+    placed = df.withColumn("_asked", day.cast("date")).crossJoin(F.broadcast(first))  # one row
+    placed = placed.withColumn("_day", F.when(F.col("_asked").isNotNull(), F.greatest("_asked", "_first")))
+    return placed.join(small(days), "_day", "left").drop("_day", "_asked", "_first")
 
 
 def latest_by_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.sizes import small
 from tidemark.operators.simulation import FIELDS, INPUT, OUTPUT, Config, simulate
 
 
@@ -23,7 +24,7 @@ def inputs(runs: DataFrame, calendar: DataFrame, bars: DataFrame, actions: DataF
     names = targets.where("ticker is not null").select("run_id", "ticker").distinct()
     run = F.col("run_id")
     parts = [
-        _shaped(runs.crossJoin(F.broadcast(calendar)), "session", run, session=F.col("session")),
+        _shaped(runs.crossJoin(small(calendar)), "session", run, session=F.col("session")),
         _shaped(bars.join(names, "ticker"), "bar", run, session=F.col("trading_date"), ticker=F.col("ticker"), open=F.col("open"), close=F.col("close"), available=F.lit(True)),
         _shaped(actions.join(names, "ticker"), "action", run, session=F.col("effective_date"), ticker=F.col("ticker"), factor=F.col("split_factor"), amount=F.col("dividend_cash"), other=F.col("action_type")),
         _shaped(targets, "target", run, session=F.col("decision_date"), ticker=F.col("ticker"), weight=F.col("weight")),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.sizes import small
+
 
 def grounded(quote: Column, text: Column, start: Column, end: Column) -> Column:
     """Whether the half-open span of the text is the quote."""
@@ -78,7 +80,7 @@ def alive(df: DataFrame, now: Column) -> DataFrame:
 
 def routed(tasks: DataFrame, routes: DataFrame) -> DataFrame:
     """Model of each (agent, task): the task's own route, else agent.task, else the default."""
-    route = F.broadcast(routes)
+    route = small(routes)
     a = route.select(F.col("route").alias("r1"), F.col("model").alias("m1"))
     b = route.select(F.col("route").alias("r2"), F.col("model").alias("m2"))
     c = route.where("route = 'default'").select(F.col("model").alias("m3"))
@@ -94,7 +96,7 @@ def contradictory_amounts(amounts: DataFrame, keys: list[str]) -> DataFrame:
 
 def unbacked_entities(mentions: DataFrame, registry: DataFrame) -> DataFrame:
     """Mentions (entity_id, day) that no registry row of that day backs."""
-    rows = F.broadcast(registry.select("entity_id", "effective_from", "effective_to"))
+    rows = small(registry.select("entity_id", "effective_from", "effective_to"))
     holds = (mentions["entity_id"] == rows["entity_id"]) & (F.col("effective_from") <= mentions["day"]) & (F.col("effective_to").isNull() | (mentions["day"] < F.col("effective_to")))
     return mentions.join(rows, holds, "left_anti")
 
@@ -106,7 +108,7 @@ def requests(current: DataFrame, registry: DataFrame, cutoff: Column) -> DataFra
     is a small dimension, joined by ticker.
     """
     facts = current.withColumn("fact_date", F.to_date(F.coalesce("published_at", "available_at"))).withColumn("ticker", F.explode_outer("direct_tickers"))
-    rows = F.broadcast(registry.where(F.col("known_at") <= cutoff))
+    rows = small(registry.where(F.col("known_at") <= cutoff))
     holds = (facts["ticker"] == rows["ticker"]) & (F.col("effective_from") <= facts["fact_date"]) & (F.col("effective_to").isNull() | (facts["fact_date"] < F.col("effective_to")))
     joined = facts.join(rows.select("ticker", "effective_from", "effective_to", "security_id"), holds, "left")
     return joined.groupBy("revision_id").agg(F.min("fact_date").alias("fact_date"), F.array_sort(F.collect_set("security_id")).alias("securities"))

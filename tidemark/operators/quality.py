@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.sizes import small
+
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
@@ -17,10 +19,11 @@ def price_violations(bars: DataFrame) -> DataFrame:
 
 
 def session_gaps(bars: DataFrame, calendar: DataFrame) -> DataFrame:
-    """(ticker, session) without a bar between a ticker's first and last."""
-    spans = bars.groupBy("ticker").agg(F.min("trading_date").alias("a"), F.max("trading_date").alias("b"))
-    due = spans.join(F.broadcast(calendar), F.col("session").between(F.col("a"), F.col("b"))).select("ticker", "session")
-    return due.join(bars.select("ticker", F.col("trading_date").alias("session")), ["ticker", "session"], "left_anti")
+    """(ticker, session) without a bar between a ticker's first and last; calendar has session and seq."""
+    there = bars.select("ticker", F.col("trading_date").alias("session")).join(small(calendar), "session").select("ticker", "seq")
+    spans = there.groupBy("ticker").agg(F.min("seq").alias("a"), F.max("seq").alias("b"))
+    due = spans.select("ticker", F.explode(F.sequence("a", "b")).alias("seq")).join(there, ["ticker", "seq"], "left_anti")
+    return due.join(small(calendar), "seq").select("ticker", "session")
 
 
 def ticker_diagnostics(bars: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def price_targets(adjusted: DataFrame, calendar: DataFrame, events: DataFrame |
     rows = rows.join(days.withColumnRenamed("session", "decision_date"), "decision_date", "left").withColumn("_event", F.lit(0))
     if events is not None:
         marked = events.where("training_exclusion").select("ticker", "event_date").distinct()
-        placed = first_not_before(marked, F.col("event_date"), calendar, F.col("session"), "seq").where("seq is not null")
+        placed = first_not_before(marked, F.col("event_date"), calendar, "seq").where("seq is not null")
         rows = rows.unionByName(placed.select("ticker", "seq", F.lit(1).alias("_event")), allowMissingColumns=True)
     ahead = Window.partitionBy("ticker").orderBy("seq")
     known, out = F.col("seq").isNotNull(), rows
@@ -125,6 +125,20 @@ def schedule_faults(schedule: DataFrame, calendar: DataFrame) -> DataFrame:
     return calendar.agg(F.count(F.lit(1)).alias("sessions")).crossJoin(F.broadcast(pairs)).crossJoin(F.broadcast(stray))  # one row each
 
 
+def training_counts(rows: DataFrame, schedule: DataFrame, frequency: str, end_column: str) -> DataFrame:
+    """(sequence, rows, last_label) of each period's training set: rows whose labels ended before its first session.
+
+    A row joins with the period after the one its label ends in and stays, so the sets are running sums.
+    """
+    period = lambda c: F.expr(PERIOD[frequency].replace("session", c))
+    periods = schedule.select("sequence", period("prediction_start").alias("period"))
+    ready = rows.groupBy(period(end_column).alias("period")).agg(F.count(F.lit(1)).alias("n"), F.max(end_column).alias("last"))
+    joined = periods.join(ready, "period").select((F.col("sequence") + 1).alias("sequence"), "n", "last")
+    before = Window.orderBy("sequence")  # a schedule is a few rows
+    sums = schedule.select("sequence").join(joined, "sequence", "left").select("sequence", F.sum("n").over(before).alias("rows"), F.max("last").over(before).alias("last_label"))
+    return sums.where("rows is not null")
+
+
 def training_window(rows: DataFrame, start: Column, nominal_end: Column, prediction_start: Column, end_column: str) -> DataFrame:
     """Rows to fit on: dated in [start, nominal_end] with labels that end before the first prediction."""
     return rows.where(F.col("decision_date").between(start, nominal_end) & (F.col(end_column) < prediction_start))

@@ -204,6 +204,15 @@ def m04_m11_ridge_walk_forward(spark, sf_dir):
     return daily.groupBy("policy", F.year("decision_date").alias("year")).agg(F.count("ic").alias("days"), F.avg("ic").alias("mean_ic"))
 
 
+def m11_single_input(spark, sf_dir):
+    """Walk-forward predictions of a least-squares line on one input, refitted each year on purged rows."""
+    rows = store_plane._model_rows(spark, sf_dir)
+    sums = experiments.Grams(experiments.grams(rows, ["momentum_20d"], LABEL, END), ["momentum_20d"])
+    starts = sorted({decided for decided, _, _ in sums.parts})
+    fitted = experiments.fits(sums, starts, {"line": (None, ["momentum_20d"])}, 0.0)
+    return experiments.predictions(rows, ["momentum_20d"], fitted).select("ticker", "decision_date", F.round("prediction", 6).alias("prediction"))
+
+
 def m06_approaches(spark, sf_dir):
     """Ranking by momentum, by a predicted return and by a predicted rank."""
     rows, by_return, _ = _walked(spark, sf_dir, {"predicted_return": (None, INPUTS)})
@@ -311,7 +320,7 @@ QUERIES = {
     for f in (
         p05_store, p13_walkforward, p13_holdout, p12_schedule_faults, p14_resumed, q03_unexpected_nulls, q04_ranking, q05_contamination, q06_explained, q07_splits, q08_samples,
         q09_targets, q10_runs, q11_sizes, q12_contract, f04_known_events, b15_treatments, t07_rare_first, m01_predictors, a09_ranking, a19_policy, a23_eligibility, a25_training_samples,
-        m04_m11_ridge_walk_forward, m06_approaches, m09_derived_ranks, m10_importance, m12_windows, m13_m16_ablations, m16_classes, m17_consistency, m18_holdout, m18_classes, m19_contract,
+        m04_m11_ridge_walk_forward, m11_single_input, m06_approaches, m09_derived_ranks, m10_importance, m12_windows, m13_m16_ablations, m16_classes, m17_consistency, m18_holdout, m18_classes, m19_contract,
         b12_benchmark, b13_isolated,
     )
 }
@@ -358,6 +367,10 @@ ORACLES = {
     "a19_policy": base.sql(f"select scope, count(*) as days, round(avg(ic), 6) as mean_ic, count(case when ic > 1e-9 then 1 end) as positive from (select ic, unnest(['year ' || year(decision_date), 'age ' || case when age <= 20 then '0-20' when age <= 40 then '21-40' when age <= 60 then '41-60' when age <= 120 then '61-120' else '121+' end]) as scope from ics join ({_AGE}) on session = decision_date) group by 1", _SPEARMAN),
     "a23_eligibility": base.sql("select count(*) as decision_dates, min(n) as fewest, max(n) as most, round(avg(n), 6) as average from (select trading_date, count(case when k > 252 then 1 end) as n from (select trading_date, row_number() over (partition by ticker order by trading_date) as k from bars) group by 1)"),
     "a25_training_samples": "select min(rows) as min_training_rows, round(avg(rows), 6) as mean_training_rows, max(rows) as max_training_rows from (" + pit_plane.ORACLES["f18_training_window"] + ")",
+    "m11_single_input": base.sql(
+        "select ticker, d as decision_date, round(b + a * m, 6) as prediction from x join fits on y = year(d) where m is not null",
+        pit_plane._TARGETS + ", x as (select p.ticker, p.trading_date as d, p / lag(p, 20) over (partition by p.ticker order by p.trading_date) - 1 as m, r_5 as r, end_5 as e from price p join t on t.ticker = p.ticker and t.decision_date = p.trading_date), fits as (select y, regr_slope(r, m) as a, regr_intercept(r, m) as b from (select distinct year(d) as y from x where m is not null and r is not null) join x on year(d) < y and year(e) < y where m is not null and r is not null group by 1)",
+    ),
     "m16_classes": f"select event_id, {_CLASS} as class, d <= -0.005 or w <= -0.005 as strong, d >= 0.005 and w >= -0.003 as harmful from (select event_id, (event_id % 21 - 10) / 1000.0 as d, (event_id % 13 - 6) / 1000.0 as w from events)",
     "m17_consistency": "select * from (values ('candidate_id', true), ('horizon', false), ('model', true), ('alpha', true), ('candidate_fingerprint', false)) t(\"check\", passed)",
     "m18_classes": "select event_id, case when ic <= 0 then 'hard_fail' when ic < 0.01 then 'fail' when uplift <= 0 and ic < 0.03 then 'fail' when ic >= 0.03 and worst > -0.01 and share >= 0.5 and uplift > 0 then 'pass' else 'marginal' end as class, case when ic > 0.026 then 'first_outperforms_second' when ic < 0.014 then 'second_outperforms_first' else 'approximately_equal' end as relative from (select event_id, (event_id % 9 - 2) / 100.0 as ic, (event_id % 5 - 3) / 100.0 as worst, (event_id % 4) / 4.0 as share, (event_id % 3 - 1) / 100.0 as uplift from events)",

@@ -142,8 +142,7 @@ def f18_training_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that each annual refit may use, with labels that end before its first prediction (J13 too)."""
     rows = _targets(spark, sf_dir).where("target_10d_training_eligible").select("decision_date", "target_end_date_10d")
     schedule = targets.walkforward_schedule(base.calendar(spark, sf_dir), "annual")
-    joined = rows.join(F.broadcast(schedule), (rows["target_end_date_10d"] < schedule["prediction_start"]) & (rows["decision_date"] < schedule["prediction_start"]))
-    return joined.groupBy("sequence").agg(F.count(F.lit(1)).alias("rows"), F.max("target_end_date_10d").alias("last_label"))
+    return targets.training_counts(rows, schedule, "annual", "target_end_date_10d")
 
 
 def j08_n01_latest_revision(spark: SparkSession, sf_dir: str) -> DataFrame:

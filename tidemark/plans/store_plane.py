@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
+from tidemark.functions.sizes import small
 from tidemark.operators import extraction, features, metrics, models, news, quality, targets
 from tidemark.operators.asof import effective_entries, split_adjusted
 from tidemark.plans import base
@@ -123,7 +124,7 @@ def q02_violations(spark, sf_dir):
 
 
 def w25_gaps(spark, sf_dir):
-    return quality.session_gaps(base.bars(spark, sf_dir), base.calendar(spark, sf_dir).select("session"))
+    return quality.session_gaps(base.bars(spark, sf_dir), base.calendar(spark, sf_dir))
 
 
 def a11_diagnostics(spark, sf_dir):
@@ -194,7 +195,7 @@ def _registry(spark):
 
 def f16_registry(spark, sf_dir):
     days = base.read(spark, sf_dir, "events").select(F.to_date("ts").alias("day")).distinct()
-    return days.join(F.broadcast(_registry(spark)), effective_entries(F.col("day"), F.col("day").cast("timestamp"))).select("day", "security_id")
+    return days.join(small(_registry(spark)), effective_entries(F.col("day"), F.col("day").cast("timestamp"))).select("day", "security_id")
 
 
 def _articles(spark, sf_dir):

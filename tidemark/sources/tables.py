@@ -7,6 +7,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.sizes import small
+
 _COMPARE = {"==": lambda c, v: c == v, "=": lambda c, v: c == v, "!=": lambda c, v: c != v, "<": lambda c, v: c < v, "<=": lambda c, v: c <= v, ">": lambda c, v: c > v, ">=": lambda c, v: c >= v, "in": lambda c, v: c.isin(*v)}
 BAR_KEY = ["ticker", "trading_date", "provider"]
 
@@ -103,7 +105,7 @@ def integrity(records: DataFrame, captures: DataFrame) -> DataFrame:
 
 def internal_symbols(df: DataFrame, aliases: DataFrame, column: str = "ticker") -> DataFrame:
     """Provider symbols by a small alias table; others stay as they are."""
-    return df.join(F.broadcast(aliases), column, "left").withColumn("provider_symbol", F.coalesce("provider_symbol", F.col(column)))
+    return df.join(small(aliases), column, "left").withColumn("provider_symbol", F.coalesce("provider_symbol", F.col(column)))
 
 
 BAR_JSON = "date string, open double, high double, low double, close double, volume double, adjClose double, splitFactor double, divCash double"

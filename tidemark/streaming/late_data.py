@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.functions.sizes import small
 from tidemark.session import shared_dir
 from tidemark.sources.tables import upsert
 
@@ -66,7 +67,7 @@ def first_seen(events: DataFrame, keys: list[str], late: str = "2 days") -> Data
 
 def with_registry(events: DataFrame, registry: DataFrame, on: str) -> DataFrame:
     """Stream-static join to a small dimension."""
-    return events.join(F.broadcast(registry), on, "left")
+    return events.join(small(registry), on, "left")
 
 
 def upsert_batches(events: DataFrame, path: str, keys: list[str], newest: str = "ts"):
