@@ -84,9 +84,9 @@ def sc15_sc21_integrity(spark, sf_dir):
 
 
 def sc23_parse_bars(spark, sf_dir):
-    bars = base.bars(spark, sf_dir).where("ticker = 'NATION_3'")
-    lines = bars.select(F.to_json(F.struct(F.concat(F.col("trading_date").cast("string"), F.lit("T00:00:00.000Z")).alias("date"), "open", "high", "low", "close", "volume", F.col("close").alias("adjClose"), F.lit(0.0).alias("splitFactor"))).alias("value"))
-    return tables.parse_bars(lines, "NATION_3").select("ticker", "trading_date", F.round("close", 6).alias("close"), "split_factor", "dividend_cash")
+    bars = base.bars(spark, sf_dir)
+    lines = bars.select("ticker", F.to_json(F.struct(F.concat(F.col("trading_date").cast("string"), F.lit("T00:00:00.000Z")).alias("date"), "open", "high", "low", "close", "volume", F.col("close").alias("adjClose"), F.lit(0.0).alias("splitFactor"))).alias("value"))
+    return tables.parse_bars(lines, F.col("ticker")).select("ticker", "trading_date", F.round("close", 6).alias("close"), "split_factor", "dividend_cash")
 
 
 def _first_line():
@@ -349,7 +349,7 @@ ORACLES = {
     "sc17_records": "select revision_id, ts as first_seen_at, sha256(cast(event_id as varchar)) as raw_hash from (select *, user_id || '-' || event_type as revision_id, row_number() over (partition by user_id, event_type order by ts, sha256(cast(event_id as varchar))) as n from events) where n = 1",
     "sc19_migrated": "select event_id, case when event_id % 3 = 0 then ts + interval 1 day else ts end as available_at, case when event_id % 3 = 0 then ts end as historical_proxy_at from events",
     "sc15_sc21_integrity": "select count(*) as records, count(distinct user_id) as articles, count(distinct user_id || '-' || event_type) as revisions, count(*) - count(distinct user_id || '-' || event_type) as duplicates, count(case when event_id % 5 = 0 then 1 end) as without_capture from events",
-    "sc23_parse_bars": base.sql("select ticker, trading_date, round(close, 6) as close, 1.0 as split_factor, 0.0 as dividend_cash from bars where ticker = 'NATION_3'"),
+    "sc23_parse_bars": base.sql("select ticker, trading_date, round(close, 6) as close, 1.0 as split_factor, 0.0 as dividend_cash from bars"),
     "sc29_symbols": "select n_name as ticker, case n_name when 'NATION_1' then 'N.1' when 'NATION_2' then 'N.2' else n_name end as provider_symbol from nation",
     "q01_duplicates": "select l_orderkey, l_linenumber, count(*) as rows from lineitem group by 1, 2 having count(*) > 1",
     "q02_violations": base.sql("select ticker, trading_date from bars where dayofmonth(trading_date) in (7, 8) or high < greatest(open, close, low) or low > least(open, close, high) or least(open, high, low, close) <= 0"),

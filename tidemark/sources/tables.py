@@ -111,11 +111,12 @@ def internal_symbols(df: DataFrame, aliases: DataFrame, column: str = "ticker")
 BAR_JSON = "date string, open double, high double, low double, close double, volume double, adjClose double, splitFactor double, divCash double"
 
 
-def parse_bars(lines: DataFrame, ticker: str) -> DataFrame:
-    """Provider JSON (column value) to bars; bars are available at 20:00 market time of their day."""
+def parse_bars(lines: DataFrame, ticker: str | Column) -> DataFrame:
+    """Provider JSON (column value) of a ticker, or of a column of tickers, to bars; they are available at 20:00 market time of their day."""
+    named = F.lit(ticker) if isinstance(ticker, str) else ticker
     day = F.to_date(F.substring("r.date", 1, 10))
-    return lines.select(F.from_json("value", BAR_JSON).alias("r")).where("r.close is not null").select(
-        F.lit(ticker).alias("ticker"), day.alias("trading_date"), "r.open", "r.high", "r.low", "r.close", "r.volume",
+    return lines.select(named.alias("_ticker"), F.from_json("value", BAR_JSON).alias("r")).where("r.close is not null").select(
+        F.col("_ticker").alias("ticker"), day.alias("trading_date"), "r.open", "r.high", "r.low", "r.close", "r.volume",
         F.col("r.adjClose").alias("adjusted_close"),
         F.when(F.coalesce("r.splitFactor", F.lit(0.0)) == 0, 1.0).otherwise(F.col("r.splitFactor")).alias("split_factor"),
         F.coalesce("r.divCash", F.lit(0.0)).alias("dividend_cash"),
