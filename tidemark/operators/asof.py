@@ -132,18 +132,25 @@ def contamination(features: DataFrame, events: DataFrame, calendar: DataFrame, b
     return out.withColumns({"feature_corporate_action_contaminated": F.col("_event").isNotNull(), "corporate_action_reason": F.col("_event.event_type"), "corporate_action_event_id": F.col("_event.event_id")}).drop("_event")
 
 
+def discontinuities(adjusted: DataFrame, threshold: float = 0.30) -> DataFrame:
+    """Rows whose one-day move on our own basis exceeds the threshold, with the provider's move of that day.
+
+    A missing close is filled with the last one before moves are taken.
+    """
+    w = Window.partitionBy("ticker").orderBy("trading_date")
+    before = w.rowsBetween(Window.unboundedPreceding, 0)
+    filled = {f"_{c}": F.last(c, ignorenulls=True).over(before) for c in ("split_adjusted_close", "adjusted_close")}
+    move = lambda c: F.try_divide(F.col(c), F.lag(c).over(w)) - 1
+    moves = adjusted.withColumns(filled).withColumns({"internal_return_1d": move("_split_adjusted_close"), "provider_adjusted_return_1d": move("_adjusted_close"), "prior_close": F.lag("_split_adjusted_close").over(w)})
+    return moves.where(F.abs("internal_return_1d") > threshold).drop(*filled)
+
+
 def detect_events(adjusted: DataFrame, actions: DataFrame, threshold: float = 0.30, continuity: float = 0.20, distribution: float = 0.10) -> DataFrame:
     """Extreme one-day moves, classified by split, distribution and provider evidence of that day.
 
     adjusted: ticker, trading_date, split_adjusted_close, adjusted_close, available_at.
     """
-    w = Window.partitionBy("ticker").orderBy("trading_date")
-    filled = F.last("split_adjusted_close", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    moves = adjusted.withColumn("_filled", filled).withColumns({
-        "internal_return_1d": F.try_divide(F.col("_filled"), F.lag("_filled").over(w)) - 1,
-        "provider_adjusted_return_1d": F.try_divide(F.col("adjusted_close"), F.lag("adjusted_close").over(w)) - 1,
-        "prior_close": F.lag("_filled").over(w),
-    }).where(F.abs("internal_return_1d") > threshold)
+    moves = discontinuities(adjusted, threshold)
     day = actions.groupBy("ticker", F.col("effective_date").alias("trading_date")).agg(F.bool_or(is_split()).alias("_split"), F.max("dividend_cash").alias("_cash"), F.max("available_at").alias("_known"))
     joined = moves.join(day, ["ticker", "trading_date"], "left")
     gap = F.col("provider_adjusted_return_1d")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import asof
 from tidemark.operators import features as feature
 from tidemark.plans import base
 
@@ -60,9 +61,10 @@ def f07_history_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def w26_discontinuity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions whose one-day move exceeds 30 percent."""
-    df = _bars(spark, sf_dir).withColumns(feature.returns(feature.window()))
-    return _out(df.where("abs(return_1d) > 0.30"), ["return_1d"])
+    """Sessions whose one-day move exceeds 30 percent, beside the move of the opens as the provider's; some closes are missing."""
+    close = F.when(F.dayofmonth("trading_date") != 17, F.col("close"))
+    df = _bars(spark, sf_dir).select("ticker", "trading_date", close.alias("split_adjusted_close"), F.col("open").alias("adjusted_close"))
+    return _out(asof.discontinuities(df), ["internal_return_1d", "provider_adjusted_return_1d"])
 
 
 QUERIES = {
@@ -148,6 +150,9 @@ ORACLES = {
     "w14_year_range": _select({"distance_52w_high": f"close / ({_rolling('max', 'close', 252)}) - 1", "distance_52w_low": f"close / ({_rolling('min', 'close', 252)}) - 1"}),
     "w16_j04_against_market": _select({f"spy_return_{n}d": _change("mc", n) for n in (1, 5, 20)} | {f"excess_return_{n}d": f"({_change('close', n)}) - ({_change('mc', n)})" for n in (5, 20)} | {f"relative_momentum_spy_{n}d": f"({_change('close', n)}) - ({_change('mc', n)})" for n in (5, 20, 60)}, "m", _M),
     "w17_w18_co_movement": _select({f"correlation_spy_{n}d": _correlation(n) for n in (20, 60)} | {f"beta_{n}d": _beta(n) for n in (20, 60)}, "mr", _MR),
-    "w26_discontinuity": base.sql("select ticker, trading_date, round(r1, 6) as return_1d from r where abs(r1) > 0.30", _R),
+    "w26_discontinuity": base.sql(
+        f"select ticker, trading_date, round(a, 6) as internal_return_1d, round(b, 6) as provider_adjusted_return_1d from (select ticker, trading_date, x / lag(x) {_W} - 1 as a, open / lag(open) {_W} - 1 as b from filled) where abs(a) > 0.30",
+        f"filled as (select ticker, trading_date, open, last_value(case when dayofmonth(trading_date) <> 17 then close end ignore nulls) {_W} as x from bars)",
+    ),
     "f07_history_flags": base.sql(f"select ticker, trading_date, count(*) {_W} as history_count, " + ", ".join(f"count(*) {_W} >= {n} as has_{n}d_history" for n in (20, 60, 120, 252)) + " from bars"),
 }
