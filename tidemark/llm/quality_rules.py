@@ -27,7 +27,7 @@ from __future__ import annotations
 
 from math import log
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize
@@ -169,19 +169,20 @@ def calibrate(measured: DataFrame, labels: DataFrame, stratum: str = "lang", id_
             sums += [F.count_if(good & above).alias(f"k_{r}_{c}"), F.count_if(bad & above).alias(f"b_{r}_{c}")]
     counts = held.groupBy("_q_stratum").agg(*sums)
     strata = counts.agg(F.count(F.lit(1)).alias("strata"))
-    counts = counts.crossJoin(F.broadcast(strata))  # one row
-    p = risk / len(RULES)
-    out = counts
-    for r, rule in enumerate(RULES):
-        passed = F.lit(True)
-        for c in range(len(rule[3]) - 1, -1, -1):
-            passed = passed & (F.col("n") > 0) & (binomial_tail(F.col(f"k_{r}_{c}"), F.col("n"), p) <= error / len(RULES) / F.col("strata"))
-            out = out.withColumn(f"_q_pass_{r}_{c}", passed)
-            passed = F.col(f"_q_pass_{r}_{c}")
-    for r, rule in enumerate(RULES):
-        options = F.array(*[F.when(F.col(f"_q_pass_{r}_{c}"), F.struct(F.col(f"b_{r}_{c}").alias("bad"), F.lit(cutoff).alias("cutoff"))) for c, cutoff in enumerate(rule[3])])
-        out = out.withColumn(rule[0], F.array_max(options)["cutoff"])
-    return out.select("_q_stratum", *[rule[0] for rule in RULES])
+    # a row for each stratum, rule and cutoff, so that one tail expression serves all
+    tests = F.array(*[
+        F.struct(F.lit(r).alias("rule"), F.lit(cutoff).alias("cutoff"), F.col(f"k_{r}_{c}").alias("k"), F.col(f"b_{r}_{c}").alias("bad"))
+        for r, rule in enumerate(RULES)
+        for c, cutoff in enumerate(rule[3])
+    ])
+    tested = counts.crossJoin(F.broadcast(strata)).select("_q_stratum", "n", "strata", F.inline(tests))  # one row
+    tail = binomial_tail(F.col("k"), F.col("n"), risk / len(RULES))
+    passed = (F.col("n") > 0) & (tail <= error / len(RULES) / F.col("strata"))
+    laxer = Window.partitionBy("_q_stratum", "rule").orderBy(F.desc("cutoff")).rowsBetween(Window.unboundedPreceding, 0)
+    certified = tested.withColumn("passed", passed).withColumn("certified", F.min("passed").over(laxer))
+    best = F.max(F.when(F.col("certified"), F.struct("bad", "cutoff")))
+    chosen = certified.groupBy("_q_stratum", "rule").agg(best["cutoff"].alias("cutoff"))
+    return chosen.groupBy("_q_stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(rule[0]) for r, rule in enumerate(RULES)])
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
@@ -201,8 +202,6 @@ def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> Dat
 
 def keep(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """The documents that pass, with their own columns."""
-    measured = materialize(measure(docs.select("doc_id", stratum, "text")).drop("text"), "quality")
-    cutoffs = calibrate(measured, labels, stratum)
-    # a non-deterministic column keeps the filter above the measures, which would else be computed again for it
-    judged = judge(measure(docs).withColumn("_q_once", F.rand(0)), cutoffs, stratum)
-    return judged.where(F.col("_q_kept") & (F.col("_q_once") >= 0)).select(*docs.columns)
+    measured = materialize(measure(docs), "quality")  # with the texts, so that each is measured once
+    judged = judge(measured, calibrate(measured, labels, stratum), stratum)
+    return judged.where("_q_kept").select(*docs.columns)
