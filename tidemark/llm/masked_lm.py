@@ -9,9 +9,11 @@ word's share of its class in the corpus. The sum of its logarithm over all words
 score.
 
 Counts come from all documents. Training is data-parallel over all documents too, each in one of
-ROUNDS rounds by the text's hash: a task goes over its windows by gradient descent in numpy from the
-round's common parameters, and the tasks' parameters are averaged by their words in a group-by. The
-driver holds only the counts (2^20 numbers) and the parameters.
+ROUNDS rounds by the text's hash and in one shard of about SHARD_WORDS words by a hash of id and
+text: a shard's windows are gone over in order of that hash, by gradient descent in numpy from the
+round's common parameters, and the shards' parameters are averaged by their words in a group-by. So
+the parameters don't depend on how the table is partitioned. Only classes, a byte a word, are
+shuffled to the shards. The driver holds only the counts (2^20 numbers) and the parameters.
 
 Rows: null text and text without words have no words and score 0; their mean is null. One word is
 predicted from the marks alone. Repeated documents repeat and count again in training. An empty table
@@ -39,6 +41,8 @@ ROUNDS = 2
 RATE = 0.5
 BATCH = 1024
 SLICE = 1 << 20
+#: Words of a shard, and of what a shard holds at once.
+SHARD_WORDS, HELD_WORDS = 1 << 19, 1 << 16
 REMEMBERED = 500_000
 
 
@@ -63,6 +67,7 @@ class Vocabulary:
     """Class of each word number, and the logarithm of its share of the class."""
 
     def __init__(self, counts: np.ndarray):
+        self.words = int(counts.sum())
         order = np.argsort(-counts, kind="stable")
         mass = np.cumsum(counts[order[SINGLE:]]).astype(float)
         shared = CLASSES - SINGLE
@@ -73,6 +78,7 @@ class Vocabulary:
         smooth = counts + 0.5
         total = np.bincount(self.of, weights=smooth, minlength=CLASSES)
         self.share = np.log(smooth / total[self.of]).astype(np.float32)
+        self.mass = np.log(total / total.sum()).astype(np.float32)
 
 
 class Network:
@@ -151,31 +157,70 @@ def _round_of(text: str) -> int:
     return zlib.crc32(text.encode()) % ROUNDS
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, text_column: str = "text") -> np.ndarray:
+def train(docs: DataFrame, vocabulary: Vocabulary, id_column: str = "doc_id", text_column: str = "text") -> np.ndarray:
     """Averaged parameters after ROUNDS rounds over all documents."""
-    parameters = Network().parameters()
+    start = Network()
+    start.bias = vocabulary.mass  # the context's part is learnt from there
+    parameters = start.parameters()
+    shards = -(-vocabulary.words // (ROUNDS * SHARD_WORDS)) or 1
+    place = F.xxhash64(id_column, text_column)
+    texts = docs.select(place.alias("place"), F.pmod(place, F.lit(shards)).cast("int").alias("shard"), text_column).where(F.col(text_column).isNotNull())
     for step in range(ROUNDS):
-        rows = docs.select(text_column).mapInArrow(_trainer(parameters, vocabulary, step), "at int, n long, x double")
+        classed = texts.mapInArrow(_classed(vocabulary, step), "shard int, place long, classes binary")
+        dealt = classed.repartition("shard").sortWithinPartitions("shard", "place", "classes")
+        rows = dealt.mapInArrow(_trainer(parameters, step), "shard int, at int, n long, x double")
         got = rows.groupBy("at").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x")).toArrow()
         parameters[got.column("at").to_numpy()] = got.column("x").to_numpy()
     return parameters
 
 
-def _trainer(parameters: np.ndarray, vocabulary: Vocabulary, step: int):
+def _classed(vocabulary: Vocabulary, step: int):
+    """Maps (place, shard, text) of the round's texts to their classes, a byte each."""
+
     def run(batches):
-        network, seen = Network(parameters), 0
         for whole in batches:
             for batch in slices(whole, SLICE):
-                texts = [t for t in batch.column(0).to_pylist() if t and _round_of(t) == step]
-                context, target = windows([vocabulary.of[numbers(t)] for t in texts])
-                mixed = np.random.default_rng(len(target)).permutation(len(target))
-                for start in range(0, len(target), BATCH):
-                    own = mixed[start : start + BATCH]
-                    network.learn(context[own], target[own], RATE / (1 + step) * len(own) / BATCH)
-                seen += len(target)
+                texts = batch.column(2).to_pylist()
+                chosen = [k for k, t in enumerate(texts) if _round_of(t) == step]
+                classes = pa.array([vocabulary.of[numbers(texts[k])].astype(np.uint8).tobytes() for k in chosen], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(chosen, pa.int32())), batch.column(0).take(pa.array(chosen, pa.int32())), classes], names=["shard", "place", "classes"])
+
+    return run
+
+
+def _trainer(parameters: np.ndarray, step: int):
+    """Maps whole shards, in order, to the parameters that each learns."""
+
+    def learn(network: Network, held: list[np.ndarray]) -> int:
+        context, target = windows(held)
+        mixed = np.random.default_rng(len(target)).permutation(len(target))
+        for start in range(0, len(target), BATCH):
+            own = mixed[start : start + BATCH]
+            network.learn(context[own], target[own], RATE / (1 + step) * len(own) / BATCH)
+        return len(target)
+
+    def learnt(shard: int, network: Network, seen: int) -> pa.RecordBatch:
+        found = network.parameters()
+        columns = [np.full(len(found), shard, np.int32), np.arange(len(found), dtype=np.int32), np.full(len(found), seen, np.int64), found]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shard", "at", "n", "x"])
+
+    def run(batches):
+        shard, network, seen, held, size = None, None, 0, [], 0
+        for batch in batches:
+            for own, classes in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if own != shard:
+                    seen += learn(network, held) if held else 0
+                    if seen:
+                        yield learnt(shard, network, seen)
+                    shard, network, seen, held, size = own, Network(parameters), 0, [], 0
+                held.append(np.frombuffer(classes, np.uint8).astype(np.int64))
+                size += len(classes)
+                if size >= HELD_WORDS:
+                    seen += learn(network, held)
+                    held, size = [], 0
+        seen += learn(network, held) if held else 0
         if seen:
-            found = network.parameters()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found), dtype=np.int32)), pa.array(np.full(len(found), seen, np.int64)), pa.array(found)], names=["at", "n", "x"])
+            yield learnt(shard, network, seen)
 
     return run
 
