@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 from collections import Counter, defaultdict
 from math import comb
 
+import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import order_minhash, quality_rules, repeated_bytes
+from tidemark.llm import oracles, order_minhash, quality_rules, repeated_bytes
+from tidemark.llm.byte_bpe import ByteBPE
 from tidemark.llm.components import connected_components
+from tidemark.llm.queries import rank_file
 from tidemark.llm.suffix_sort import Text, merge_sort
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -268,3 +274,66 @@ def test_pipeline(spark, small):
     for r in docs.collect():
         by_text[r.ids_sha256].add(r.doc_id)
     assert docs.where("n_tokens is null").isEmpty()
+
+
+def without_repeats(texts, length):
+    """Texts without the bytes of strings that start twice or more; a character that loses a byte goes."""
+    raws = [t.encode() for t in texts]
+    seen = Counter(r[k : k + length] for r in raws for k in range(len(r) - length + 1))
+    out = []
+    for raw in raws:
+        gone = bytearray(len(raw))
+        for k in range(len(raw) - length + 1):
+            if seen[raw[k : k + length]] > 1:
+                gone[k : k + length] = b"\1" * length
+        out.append(bytes(c for c, g in zip(raw, gone, strict=True) if not g).decode("utf-8", "ignore"))
+    return out
+
+
+def without_windows(text, items, window=10):
+    """The text without runs of words that benchmark windows cover, nor what stands between the words of a run."""
+    word = re.compile(rb"[0-9a-z\x80-\xff]+")
+    lower = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+    raw = text.encode()
+    found = list(word.finditer(raw.translate(lower)))
+    own, hit, places = [m.group() for m in found], set(), defaultdict(list)
+    for k, w in enumerate(own):
+        places[w].append(k)
+    for item in items:
+        q = word.findall((item or "").encode().translate(lower))
+        for s in range(max(1, len(q) - window + 1) if q else 0):
+            p = q[s : s + window]
+            for a in places[p[0]]:
+                if own[a : a + len(p)] == p:
+                    hit.update(range(a, a + len(p)))
+    out, at = [], 0
+    for k in range(len(own)):
+        if k in hit:
+            if k - 1 not in hit:
+                out.append(raw[at : found[k].start()])
+            at = found[k].end()
+    return b"".join([*out, raw[at:]]).decode()
+
+
+def test_pipeline_matches_brute_force(spark):
+    """All five stages over a whole table against plain Python, and DuckDB for the verdicts of quality."""
+    where, duck = "/root/testdata/sf0.01", duckdb.connect()
+    for table in ("documents", "labels", "benchmark"):
+        duck.execute(f"create view {table} as select * from '{where}/{table}.parquet'")
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ByteBPE(rank_file(), public_tokenizers.PATTERN).ranks, special_tokens={})
+    rows = duck.execute(f"select doc_id, text from documents join ({oracles.quality()}) using (doc_id) where kept order by doc_id").fetchall()
+    ids, texts = [r[0] for r in rows], [r[1] for r in rows]
+    assert len(set(ids)) == len(ids) > 50
+    first = near_classes(texts)
+    chosen = [k for k in range(len(ids)) if first[k] == k]
+    assert 0 < len(chosen) < len(ids)
+    cut = without_repeats([texts[k] for k in chosen], corpus_pipeline.PASSAGE)
+    items = [r[0] for r in duck.execute("select text from benchmark").fetchall()]
+    left = [without_windows(t, items) for t in cut]
+    assert cut != [texts[k] for k in chosen] and left != cut
+    wanted = {}
+    for k, text in zip(chosen, left, strict=True):
+        tokens = encoding.encode_ordinary(text)
+        wanted[ids[k]] = (len(tokens), hashlib.sha256(np.array(tokens, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, where).collect()}
+    assert got == wanted
