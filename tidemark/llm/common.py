@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
+#: Bytes of a row group, which a writer holds in memory.
+ROW_GROUP = 16 << 20
 LET_GO_SECONDS = 2.0
 _let_go_at = 0.0
 
@@ -38,7 +40,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     _let_go(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
