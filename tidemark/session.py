@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 #: Bytes of an Arrow batch sent to a Python worker; bounds the memory of both sides, whatever the rows' length.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
 _ARROW_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
