@@ -147,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, rows: int = SAMPLE_RO
             for batch in slices(whole):
                 found = [sorted(features(t).items()) for t in batch.column(1).to_pylist()]
                 numbers = pa.array([np.array([f for f, _ in own], "<u4").tobytes() for own in found], pa.binary())
-                counts = pa.array([np.array([n for _, n in own], "<u4").tobytes() for own in found], pa.binary())
+                counts = pa.array([zlib.compress(np.array([n for _, n in own], "<u4").tobytes(), 1) for own in found], pa.binary())  # mostly ones
                 yield pa.RecordBatch.from_arrays([*batch.columns[:1], numbers, counts, batch.column(2)], names=["grade", "features", "counts", "doc_id"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -157,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, rows: int = SAMPLE_RO
     got = counted_rows.groupBy("doc_id").agg(F.min(F.struct("grade", "features", "counts")).alias("row")).select("row.*").toArrow()
     order = sorted(range(got.num_rows), key=lambda k: (got.column(0)[k].as_py(), got.column(1)[k].as_py(), got.column(2)[k].as_py()))
     grades = got.column(0).to_numpy()[order].astype(np.int64)
-    sparse = [(np.frombuffer(got.column(1)[k].as_buffer(), "<u4"), np.frombuffer(got.column(2)[k].as_buffer(), "<u4")) for k in order]
+    sparse = [(np.frombuffer(got.column(1)[k].as_buffer(), "<u4"), np.frombuffer(zlib.decompress(got.column(2)[k].as_buffer()), "<u4")) for k in order]
     weight = np.array([1 / rate[g] for g in grades.tolist()])
     return train(grades, sparse, weight * len(weight) / max(weight.sum(), 1e-9))
 
