@@ -78,7 +78,7 @@ class Vocabulary:
         smooth = counts + 0.5
         total = np.bincount(self.of, weights=smooth, minlength=CLASSES)
         self.share = np.log(smooth / total[self.of]).astype(np.float32)
-        self.mass = np.log(total / total.sum()).astype(np.float32)
+        self.mass = np.log(np.maximum(total, 0.5) / total.sum()).astype(np.float32)
 
 
 class Network:
