@@ -218,27 +218,21 @@ def j17_alignment(spark, sf_dir):
     return joined.select(F.inline(rows)).groupBy("dimension").agg(F.count_if("same").alias("agreed"), F.count_if(~F.col("same")).alias("differed"), F.count_if(F.col("same").isNull()).alias("missing"))
 
 
-def _editorial(spark, sf_dir):
-    articles = news.prepared_editorial(store_plane._articles(spark, sf_dir))
-    return news.classified_editorial(news.blocked_pairs(articles, [F.get("tickers", F.lit(0)), F.col("hash")]), articles)
-
-
 def n06_editorial_rules(spark, sf_dir):
-    return _editorial(spark, sf_dir).select("left_id", "right_id", "relationship")
+    return store_plane._related(spark, sf_dir, second=True)
 
 
 def n09_snapshot_clusters(spark, sf_dir):
     """Groups of exact duplicates, and lone articles, as clusters with content ids."""
     shared_dir(spark)
-    grouped = news.groups(store_plane._articles(spark, sf_dir), store_plane._classified(spark, sf_dir), ["exact_duplicate"])
+    grouped = news.groups(store_plane._articles(spark, sf_dir), store_plane._related(spark, sf_dir), ["exact_duplicate"])
     return news.cluster_ids(grouped, "groups-1").select("cluster_id", "representative", F.size("members").alias("members"))
 
 
 def n10_evaluation(spark, sf_dir):
     """Predicted exact duplicates against equal texts."""
-    hashes = store_plane._articles(spark, sf_dir).select("id", "hash")
-    pairs = store_plane._classified(spark, sf_dir).join(hashes.select(F.col("id").alias("left_id"), F.col("hash").alias("a")), "left_id").join(hashes.select(F.col("id").alias("right_id"), F.col("hash").alias("b")), "right_id")
-    return metrics.confusion(pairs, F.col("a") == F.col("b"), F.col("relationship") == "exact_duplicate").select("fp", "fn")
+    pairs = store_plane._related(spark, sf_dir, agreeing=("hash",))
+    return metrics.confusion(pairs, F.col("same_hash"), F.col("relationship") == "exact_duplicate").select("fp", "fn")
 
 
 def n11_review_sample(spark, sf_dir):

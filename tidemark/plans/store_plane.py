@@ -211,18 +211,17 @@ def j10_n04_pairs(spark, sf_dir):
     return news.blocked_pairs(_articles(spark, sf_dir), [F.get("tickers", F.lit(0)), F.col("hash")])
 
 
-def _classified(spark, sf_dir):
-    articles = news.prepared(_articles(spark, sf_dir))
-    return news.classified(news.blocked_pairs(articles, [F.get("tickers", F.lit(0)), F.col("hash")]), articles)
+def _related(spark, sf_dir, **options):
+    return news.relationships(_articles(spark, sf_dir), [F.get("tickers", F.lit(0)), F.col("hash")], **options)
 
 
 def n05_relationships(spark, sf_dir):
-    return _classified(spark, sf_dir).select("left_id", "right_id", "relationship")
+    return _related(spark, sf_dir)
 
 
 def n08_groups(spark, sf_dir):
     shared_dir(spark)  # for the checkpoints of the rounds
-    return news.groups(_articles(spark, sf_dir), _classified(spark, sf_dir), ["exact_duplicate", "editorial_duplicate"])
+    return news.groups(_articles(spark, sf_dir), _related(spark, sf_dir), ["exact_duplicate", "editorial_duplicate"])
 
 
 def x08_jaccard(spark, sf_dir):
