@@ -14,12 +14,18 @@ TRACKING = ("fbclid", "gclid")
 
 def folded(column: Column) -> Column:
     """NFKC and case folding; plain ASCII stays in the JVM."""
-    return F.when(column.rlike(r"^\p{ASCII}*$"), F.lower(column)).otherwise(F.pandas_udf(text.folded, "string")(column))
+    plain = column.rlike(r"^\p{ASCII}*$")
+    return F.when(plain, F.lower(column)).otherwise(F.pandas_udf(text.folded, "string")(F.when(~plain, column)))
+
+
+def split_words(column: Column) -> Column:
+    """Whole Unicode words of a folded text."""
+    return F.regexp_extract_all(column, F.lit(r"([\p{L}\p{N}_]+)"))
 
 
 def words(column: Column) -> Column:
     """Whole Unicode words after folding; none for null."""
-    return F.regexp_extract_all(folded(F.coalesce(column, F.lit(""))), F.lit(r"([\p{L}\p{N}_]+)"))
+    return split_words(folded(F.coalesce(column, F.lit(""))))
 
 
 def link(column: Column) -> Column:
