@@ -225,13 +225,13 @@ def n06_editorial_rules(spark, sf_dir):
 def n09_snapshot_clusters(spark, sf_dir):
     """Groups of exact duplicates, and lone articles, as clusters with content ids."""
     shared_dir(spark)
-    grouped = news.groups(store_plane._articles(spark, sf_dir), store_plane._related(spark, sf_dir), ["exact_duplicate"])
+    grouped = news.groups(store_plane._articles(spark, sf_dir), store_plane._related(spark, sf_dir, exact=True), ["exact_duplicate"])
     return news.cluster_ids(grouped, "groups-1").select("cluster_id", "representative", F.size("members").alias("members"))
 
 
 def n10_evaluation(spark, sf_dir):
     """Predicted exact duplicates against equal texts."""
-    pairs = store_plane._related(spark, sf_dir, agreeing=("hash",))
+    pairs = store_plane._related(spark, sf_dir, agreeing=("hash",), exact=True)
     return metrics.confusion(pairs, F.col("same_hash"), F.col("relationship") == "exact_duplicate").select("fp", "fn")
 
 
