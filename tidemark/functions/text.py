@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -45,6 +47,20 @@ def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(np.divide(dot, norm, out=np.zeros(n), where=norm > 0))
 
 
+def bag(words: list[str]) -> tuple[Counter, float]:
+    """Counts of words and of neighbouring pairs, and the sum of their squares."""
+    counts = Counter(words)
+    counts.update(zip(words, words[1:]))  # noqa: B905
+    return counts, float(sum(n * n for n in counts.values()))
+
+
+def bag_cosine(a: tuple[Counter, float], b: tuple[Counter, float]) -> float:
+    """cosine() of two bags."""
+    (few, _), (many, _) = sorted((a, b), key=lambda x: len(x[0]))
+    norm = math.sqrt(a[1] * b[1])
+    return float(sum(n * many[x] for x, n in few.items() if x in many)) / norm if norm > 0 else 0.0
+
+
 def longest_run(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest run of words that both lists have: a binary search over lengths, for all rows at once."""
     x, x_rows, y, y_rows = _numbered(a, b)

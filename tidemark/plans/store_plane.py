@@ -211,8 +211,12 @@ def j10_n04_pairs(spark, sf_dir):
     return news.blocked_pairs(_articles(spark, sf_dir), [F.get("tickers", F.lit(0)), F.col("hash")])
 
 
+def _blocks():
+    return [F.get("tickers", F.lit(0)), F.col("hash")]
+
+
 def _related(spark, sf_dir, **options):
-    return news.relationships(_articles(spark, sf_dir), [F.get("tickers", F.lit(0)), F.col("hash")], **options)
+    return news.relationships(_articles(spark, sf_dir), _blocks(), **options)
 
 
 def n05_relationships(spark, sf_dir):
@@ -220,8 +224,7 @@ def n05_relationships(spark, sf_dir):
 
 
 def n08_groups(spark, sf_dir):
-    shared_dir(spark)  # for the checkpoints of the rounds
-    return news.groups(_articles(spark, sf_dir), _related(spark, sf_dir), ["exact_duplicate", "editorial_duplicate"])
+    return news.duplicate_groups(_articles(spark, sf_dir), _blocks())
 
 
 def x08_jaccard(spark, sf_dir):
